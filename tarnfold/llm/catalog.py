@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import mixing
+from tarnfold.llm import mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mix_sources": mixing.op10_mix_sources}
+    return {"op7_quality_rules": quality.op7_quality_rules, "op8_shard_balanced": sharding.op8_shard_balanced, "op10_mix_sources": mixing.op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"op7_quality_rules": quality.ORACLE, "op10_mix_sources": mixing.ORACLE}
