@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import mixing, quality, sharding
+from tarnfold.llm import langid, media, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": quality.op7_quality_rules, "op8_shard_balanced": sharding.op8_shard_balanced, "op10_mix_sources": mixing.op10_mix_sources}
+    return {
+        "op2_best_fit_pack": packing.op2_best_fit_pack,
+        "op5_media_columns": media.op5_media_columns,
+        "op6_language_id": langid.op6_language_id,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op8_shard_balanced": sharding.op8_shard_balanced,
+        "op10_mix_sources": mixing.op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
