@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import langid, media, mixing, packing, quality, sharding
+from tarnfold.llm import jaccard_join, langid, media, mixing, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op2_best_fit_pack": packing.op2_best_fit_pack,
         "op5_media_columns": media.op5_media_columns,
         "op6_language_id": langid.op6_language_id,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE, "op10_mix_sources": mixing.ORACLE}
+    return {"op1_jaccard_join": jaccard_join.ORACLE, "op7_quality_rules": quality.ORACLE, "op10_mix_sources": mixing.ORACLE}
