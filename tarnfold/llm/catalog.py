@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import jaccard_join, langid, media, mixing, packing, quality, sharding
+from tarnfold.llm import jaccard_join, langid, media, mixing, packing, quality, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op2_best_fit_pack": packing.op2_best_fit_pack,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op5_media_columns": media.op5_media_columns,
         "op6_language_id": langid.op6_language_id,
         "op7_quality_rules": quality.op7_quality_rules,

@@ -173,12 +173,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: sets of five-word shingles that are similar to 0.75 link.
 
     Sets are equal for copies, so all work after the first pass is on distinct sets, each standing for the smallest
-    doc_id that has it. Signatures that several sets share form groups; groups with the same members are one. A
-    group's sets are compared with a hub, the smallest; links join components. While a group's sets are in several
-    components, its sets outside the largest are hubs in turn, all at once in small groups, four times as many each
-    round in large ones, and are compared with the sets in other components, until no group has a pair that is
-    neither compared nor joined. So no link between components is lost, and a group of n similar copies costs about
-    n comparisons. Comparison bounds the overlap by sizes and bitmaps and then intersects the whole sets.
+    doc_id that has it. Signatures that several sets share form groups; groups with the same members are one. Each
+    set is compared with the smallest one of all its groups; links join components. While a group's sets are in
+    several components, its sets outside the largest are hubs in turn, all at once in small groups, four times as
+    many each round in large ones, and are compared with the sets in other components, until no group has a pair that
+    is neither compared nor joined. So no link between components is lost, and a group of n similar copies costs
+    about n comparisons. Comparison bounds the overlap by sizes and bitmaps and then intersects the whole sets.
 
     Null or empty texts, and texts without a word, have 0 shingles and are components of their own. Rows of one
     doc_id that have several texts are linked by each. A null doc_id has a null component unless its text is linked.
@@ -196,30 +196,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = settle(members, "members")
     prints = members.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print"), F.min("rep").alias("hub"))
     groups = settle(prints.where("size > 1").groupBy("size", "print", "hub").agg(F.min("sig").alias("sig")), "groups")
-    members = settle(members.join(groups.select("sig", "size", "hub"), "sig"), "members")
+    sizes = nodes.select("rep", "n")
+    members = settle(members.join(groups.select("sig", "hub"), "sig").join(sizes, "rep"), "members")
     wanted = members.select("rep").distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
     # A doc_id with several texts: the text whose set stands for the id can't be told here; all are compared.
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
     texts = settle(texts.distinct(), "texts")
-    links = _verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), nodes, texts)
-    members = members.where("rep <> hub").select("sig", "rep")
-    hubs, several = 1, rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
+    near = "4 * least(n, m) >= 3 * greatest(n, m)"
+    first = members.join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(f"hub < rep and {near}")
+    links = _verify(first.groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")), nodes, texts)
+    several = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
     same = rows.join(several, "doc_id", "left_semi").join(nodes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = settle(links.unionByName(same), "links")
+    members, hubs = members.select("sig", "rep", "n"), 2
     while True:
         label = components(links)
-        member = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("label"))
-        counts = member.groupBy("sig", "label").agg(F.count("*").alias("n"))
-        broken = counts.groupBy("sig").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+        member = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        counts = member.groupBy("sig", "label").agg(F.count("*").alias("k"))
+        broken = counts.groupBy("sig").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
         open_ = settle(member.join(broken.select("sig", "size", F.col("most.label").alias("largest")), "sig"), "open")
         if not open_.limit(1).count():
             break
-        turn = F.row_number().over(Window.partitionBy("sig", "label").orderBy("rep"))
+        turn = F.row_number().over(Window.partitionBy("sig").orderBy("rep"))
         some = open_.where("label <> largest").withColumn("turn", turn).where((F.col("size") <= SMALL) | (F.col("turn") <= hubs))
-        some = settle(some.select("sig", F.col("rep").alias("a"), F.col("label").alias("la")), "hubs")
-        pairs = open_.join(some, "sig").where("label <> la").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        some = settle(some.select("sig", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("m")), "hubs")
+        pairs = open_.join(some, (open_["sig"] == some["sig"]) & F.expr(f"label <> la and {near}"))
+        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
         links = settle(links.unionByName(_verify(pairs, nodes, texts)), "links")
-        members = open_.select("sig", "rep").join(some.select("sig", F.col("a").alias("rep")), ["sig", "rep"], "left_anti")
+        members = open_.select("sig", "rep", "n").join(some.select("sig", F.col("a").alias("rep")), ["sig", "rep"], "left_anti")
         hubs *= 4
     found = nodes.select("node", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("found"))
     return rows.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
