@@ -17,9 +17,9 @@ from tarnfold.tables import table
 
 #: Width of the model, classes of ids, rows of the hashed embedding, positions of a window and positions of a window
 #: that are only context of the others.
-WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 8, 32, 4096, 32, 8
+WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 16, 64, 4096, 32, 8
 #: One of so many training windows is trained on, in every task; windows of a step; the first id of a text and the end.
-WINDOW_RATE, STEP, BEGIN, END, VOCABULARY = 64, 64, 50256, 2, 50257
+WINDOW_RATE, STEP, BEGIN, END, VOCABULARY = 16, 16, 50256, 2, 50257
 #: The most frequent words whose counts are broadcast; all others are joined.
 HEAD = 1 << 18
 #: One of so many training documents is cut into ids to count them by class.
