@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import forget, mix64, powers, settle
+from tarnfold.llm.common import forget, mix64, powers, settle, small_batches
 from tarnfold.tables import table
 
 #: Bytes of a repeated string, of a trigger, and places for a trigger in such a string.
@@ -91,13 +91,23 @@ def _column(group: pa.Table, kind: int, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def _found(keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
-    """One row a key with the bytes of its columns."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    parts = np.split(order, cuts) if len(keys) else []
-    return pa.table({"key": pa.array(keys[np.concatenate([[0], cuts]).astype(int)] if len(keys) else [], pa.int64()), **{f"c{i}": pa.array([c[p].tobytes() for p in parts], pa.binary()) for i, c in enumerate(columns)}})
+def _found(keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.Table:
+    """Rows dealt to buckets by key: the bytes of the keys and of the columns."""
+    rows = _blobs(_spread(keys, buckets), [keys, *columns], 0)
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), **{f"c{i}": pa.array([r[2][i] for r in rows], pa.binary()) for i in range(len(columns) + 1)}})
+
+
+def _by_key(found: DataFrame, kinds: list) -> DataFrame:
+    """(key, c0, ...): for each key in rows of _found() the bytes of its columns, which have the given types."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        keys, *columns = (np.concatenate([np.frombuffer(x, d) for x in group.column(f"c{i}").to_pylist()]) for i, d in enumerate([np.int64, *kinds]))
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order])) + 1
+        parts = np.split(order, cuts)
+        return pa.table({"key": pa.array([int(keys[p[0]]) for p in parts], pa.int64()), **{f"c{i}": pa.array([c[p].tobytes() for p in parts], pa.binary()) for i, c in enumerate(columns)}})
+
+    return found.groupBy("bucket").applyInArrow(gather, "key long" + "".join(f", c{i} binary" for i in range(len(kinds))))
 
 
 def repeated_triggers(texts: DataFrame, buckets: int) -> DataFrame:
@@ -108,6 +118,8 @@ def repeated_triggers(texts: DataFrame, buckets: int) -> DataFrame:
     that it is there. So no bucket gets more rows of one trigger than there are batches and places in one text.
     """
 
+    gathered = max(4, buckets // 8)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tids = np.array(batch.column("tid").to_pylist(), np.int64)
@@ -143,10 +155,10 @@ def repeated_triggers(texts: DataFrame, buckets: int) -> DataFrame:
             keep = order[several[np.cumsum(new) - 1]]
         else:
             keep = order
-        return _found(np.concatenate([tid[keep], _column(group, 1, "c0", np.int64)]), [np.concatenate([at[keep], _column(group, 1, "c1", np.uint32)])])
+        return _found(np.concatenate([tid[keep], _column(group, 1, "c0", np.int64)]), [np.concatenate([at[keep], _column(group, 1, "c1", np.uint32)])], gathered)
 
     dealt = texts.select("tid", "data").mapInArrow(deal, "bucket long, kind int, c0 binary, c1 binary, c2 binary")
-    return dealt.groupBy("bucket").applyInArrow(judge, "key long, c0 binary")
+    return _by_key(dealt.groupBy("bucket").applyInArrow(judge, "bucket long, c0 binary, c1 binary"), [np.uint32])
 
 
 def _classes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,10 +216,10 @@ def repeated_spans(texts: DataFrame, buckets: int) -> DataFrame:
     one context only that of the smallest document goes there; the others are covered as far as the context goes,
     and their spans go to buckets by document. So a passage that a third of all texts have is a row a batch.
     """
-    width = PLACES - 1 + LENGTH
+    width, gathered = PLACES - 1 + LENGTH, max(4, buckets // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2000):
             docs = np.array(batch.column("doc_id").to_pylist(), np.int64)
             data, starts, ends = _texts(batch.column("data"))
             places = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])) for lists in batch.column("places").to_pylist()]
@@ -247,10 +259,10 @@ def repeated_spans(texts: DataFrame, buckets: int) -> DataFrame:
         lo, hi = covered(doc, context, left, right)
         hit = hi > lo
         known = [_column(group, 1, c, np.int64) for c in ("c0", "c1", "c2")]
-        return _found(np.concatenate([doc[hit], known[0]]), [np.concatenate([(pos + lo)[hit], known[1]]), np.concatenate([(pos + hi)[hit], known[2]])])
+        return _found(np.concatenate([doc[hit], known[0]]), [np.concatenate([(pos + lo)[hit], known[1]]), np.concatenate([(pos + hi)[hit], known[2]])], gathered)
 
     dealt = texts.select("doc_id", "data", "places").mapInArrow(deal, "bucket long, kind int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
-    return dealt.groupBy("bucket").applyInArrow(judge, "key long, c0 binary, c1 binary")
+    return _by_key(dealt.groupBy("bucket").applyInArrow(judge, "bucket long, c0 binary, c1 binary, c2 binary"), [np.int64, np.int64])
 
 
 def _union(starts: list[bytes] | None, ends: list[bytes] | None) -> np.ndarray:
@@ -279,11 +291,11 @@ def spans_to_remove(docs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     owners = ids.join(first, "digest").select("doc_id", "tid", (F.col("rep") < F.col("doc_id")).alias("copy"))
     owners = settle(owners.distinct(), "owners")
-    per_text = found.groupBy(F.col("key").alias("tid")).agg(F.collect_list("c0").alias("places"))
+    per_text = found.select(F.col("key").alias("tid"), F.array("c0").alias("places"))
     wanted = owners.where("not copy").join(per_text, "tid").select("doc_id", "tid", "places")
     spans = settle(repeated_spans(marked.join(wanted, ["doc_id", "tid"]), buckets), "spans")
     forget(docs.sparkSession, found)
-    whole = spans.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("c0").alias("starts"), F.collect_list("c1").alias("ends"))
+    whole = spans.select(F.col("key").alias("doc_id"), F.array("c0").alias("starts"), F.array("c1").alias("ends"))
     return whole.join(owners.groupBy("doc_id").agg(F.max("copy").alias("copy")).where("copy"), "doc_id", "full_outer").select("doc_id", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
 
 
@@ -302,7 +314,7 @@ def without_repeats(docs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for text, starts, ends, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "copy")), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
