@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import components, forget, mix64, settle
+from tarnfold.llm.common import components, forget, mix64, settle, small_batches
 from tarnfold.llm.shingles import difference_at_least, parity_bits, set_id, shingle_sets
 from tarnfold.tables import table
 
 WORDS = 5
 #: Bits of a hash that pick a cell of the frequency sketch, and cells in one of its blocks. The sketch, 2**BITS
-#: counters, is the only thing broadcast; its size never changes.
-BITS, CELLS = 20, 1 << 16
+#: counters, becomes the only thing that is broadcast, a byte a cell; its size never changes.
+BITS, CELLS = 23, 1 << 16
 #: Frequent shingles of a band fall into about set size / SPREAD classes.
 SPREAD = 16
 #: Groups up to this size are compared whole in one round; larger ones by a growing number of hubs.
-SMALL = 64
+SMALL = 6
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -45,15 +45,13 @@ def profiles(docs: DataFrame) -> DataFrame:
         def rows(ids: pa.Array, n: list, node: list, bits: list, block: list, part: list, blobs: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), WORDS)
             nodes = [set_id(s) if len(s) else None for s in sets]
             for s, node in zip(sets, nodes, strict=True):
                 if node is not None and node not in seen:
                     seen.add(node)
-                    counts += np.bincount((s >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.uint32) if len(s) > CELLS else 0
-                    if len(s) <= CELLS:
-                        np.add.at(counts, (s >> np.uint64(64 - BITS)).astype(np.int64), 1)
+                    np.add.at(counts, (s >> np.uint64(64 - BITS)).astype(np.int64), 1)
             none = [None] * len(sets)
             yield rows(batch.column("doc_id").cast(pa.int64()), [len(s) for s in sets], nodes, [parity_bits(s) if len(s) else None for s in sets], none, none, none)
         if seen:
@@ -80,12 +78,15 @@ def frequency_classes(sketch: DataFrame) -> np.ndarray:
 
     first = sketch.withColumn("some", F.floor(F.col("part") / 64)).withColumn("wide", F.lit(0)).groupBy("block", "some").applyInArrow(add, "block int, counts binary")
     rows = first.withColumn("wide", F.lit(1)).groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    counts = np.zeros(1 << BITS)
+    counts = np.zeros(1 << BITS, np.float32)
     for r in rows:
         counts[r["block"] * CELLS : (r["block"] + 1) * CELLS] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
-    usual = float(np.median(counts))
-    excess = counts - usual - 5 * np.sqrt(usual + 1)
-    return np.where(excess > 0, np.minimum(30, 1 + np.floor(np.log2(np.maximum(excess, 1)))), 0).astype(np.uint8)
+    usual = float(np.median(counts[::64]))
+    classes = np.zeros(1 << BITS, np.uint8)
+    for lo in range(0, len(counts), CELLS):
+        excess = counts[lo : lo + CELLS] - usual - 3 * np.sqrt(usual + 1)
+        classes[lo : lo + CELLS] = np.where(excess > 0, np.minimum(30, 1 + np.floor(np.log2(np.maximum(excess, 1)))), 0)
+    return classes
 
 
 def signatures(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def index_rows(docs: DataFrame, classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small_batches(batches):
             sigs, nodes = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), WORDS):
                 if len(s) < 2 or (node := set_id(s)) in seen:
@@ -155,7 +156,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             x = shingle_sets(batch.column("ta").to_pylist(), WORDS)
             y = shingle_sets(batch.column("tb").to_pylist(), WORDS)
