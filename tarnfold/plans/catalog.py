@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import history
+from tarnfold.plans import analysis, history
 
-PARTS = [history]
+PARTS = [history, analysis]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
