@@ -59,7 +59,7 @@ def latin_tokens(c: Column, stopwords: list[str] = ()) -> Column:
 def cjk_bigrams(c: Column) -> Column:
     """Neighbouring pairs of all CJK characters of a text, across gaps."""
     chars = F.regexp_extract_all(c, F.lit("([一-鿿])"), 1)
-    return F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), F.concat)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda x, y: F.concat(x, y))).otherwise(F.array().cast("array<string>"))
 
 
 def split_tags(c: Column) -> Column:
@@ -106,7 +106,7 @@ def sections(c: Column, headings: dict[str, list[str]]) -> Column:
     def step(acc: Column, line: Column) -> Column:
         now = F.coalesce(of(line), acc["now"])
         rest = F.when(of(line).isNotNull(), F.regexp_replace(line, r"^[^:：]*[:：]?\s*", "")).otherwise(line)
-        parts = F.transform_values(acc["parts"], lambda k, v: F.when(k == now, F.trim(F.concat(v, F.lit("\n"), rest))).otherwise(v))
+        parts = F.transform_values(acc["parts"], lambda k, v: F.when(k == now, trim_u(F.concat(v, F.lit("\n"), rest))).otherwise(v))
         return F.struct(now.alias("now"), parts.alias("parts"))
 
     return F.aggregate(lines, start, step, lambda acc: acc["parts"])
