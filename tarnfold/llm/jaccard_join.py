@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id that has it. Signatures that several sets share form groups; groups with the same members are one. Each
     set is compared with the smallest one of all its groups; links join components. While a group's sets are in
     several components, its sets outside the largest are hubs in turn, all at once in small groups, four times as
-    many each round in large ones, and are compared with the sets in other components, until no group has a pair that
+    many each round in large ones, each in four times as many of its groups as the round before, and are compared with the sets in other components, until no group has a pair that
     is neither compared nor joined. So no link between components is lost, and a group of n similar copies costs
     about n comparisons. Comparison bounds the overlap by sizes and bitmaps and then intersects the whole sets.
 
@@ -220,6 +220,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
         turn = F.row_number().over(Window.partitionBy("sig").orderBy("rep"))
         some = open_.where("label <> largest").withColumn("turn", turn).where((F.col("size") <= SMALL) | (F.col("turn") <= hubs))
+        # A set takes part in a few groups a round: once it is linked, its other groups need no comparison.
+        some = some.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("size"), "sig"))).where(F.col("nth") <= hubs)
         some = settle(some.select("sig", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("m")), "hubs")
         pairs = open_.join(some, (open_["sig"] == some["sig"]) & F.expr(f"label <> la and {near}"))
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
