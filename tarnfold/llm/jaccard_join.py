@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import components, forget, mix64, settle, small_batches
-from tarnfold.llm.shingles import difference_at_least, parity_bits, set_id, shingle_sets
+from tarnfold.llm.shingles import difference_at_least, folded, parity_bits, set_id, shingle_sets
 from tarnfold.tables import table
 
 WORDS = 5
@@ -22,6 +22,8 @@ BITS, CELLS = 23, 1 << 16
 SPREAD = 16
 #: Groups up to this size are compared whole in one round; larger ones by a growing number of hubs.
 SMALL = 6
+#: Bytes of the bitmaps that groups are compared by, members of a block on the average, and pairs looked at at once.
+BRIEF, BLOCK, AT_ONCE = 256, 64, 1 << 18
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -30,9 +32,9 @@ def linked(inter: int, a: int, b: int) -> bool:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """One pass over all texts: rows (doc_id, n, node, bitmap), and the sketch's rows (block, part, counts), doc_id null.
+    """One pass over all texts: rows (doc_id, n, node, bitmap, brief), and the sketch's rows (block, part, counts), doc_id null.
 
-    `node` is the fingerprint of the shingle set, null if it is empty. The sketch counts, over all sets that a task
+    `node` is the fingerprint of the shingle set, null if it is empty; `brief` is the bitmap folded to BRIEF bytes. The sketch counts, over all sets that a task
     meets, the shingles in each cell; a task emits it once, in blocks.
     """
 
@@ -40,10 +42,10 @@ def profiles(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         counts, seen = np.zeros(1 << BITS, np.uint32), set()
-        names = ["doc_id", "n", "node", "bitmap", "block", "part", "counts"]
+        names = ["doc_id", "n", "node", "bitmap", "brief", "block", "part", "counts"]
 
         def rows(ids: pa.Array, n: list, node: list, bits: list, block: list, part: list, blobs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array([b and folded(b, BRIEF).tobytes() for b in bits], pa.binary()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), WORDS)
@@ -60,7 +62,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             blobs = [zlib.compress(counts[b * CELLS : (b + 1) * CELLS].tobytes(), 1) for b in blocks]
             yield rows(pa.array(none, pa.int64()), none, none, none, list(blocks), [TaskContext.get().partitionId()] * len(blocks), blobs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bitmap binary, block int, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bitmap binary, brief binary, block int, part int, counts binary")
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
@@ -144,6 +146,72 @@ def index_rows(docs: DataFrame, classes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
+def _blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+    """Rows (sig, rep, label, n, brief) as arrays `name`, of about BLOCK rows each whatever the group's size, by (sig, chunk)."""
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.expr(size) / BLOCK).cast("long"))
+    return rows.withColumn("chunk", chunk).groupBy("sig", "chunk").agg(F.collect_list(F.struct("rep", "label", "n", "brief")).alias(name)).drop("chunk")
+
+
+def _entries(column: pa.Array) -> tuple:
+    """Of a column of blocks: where each begins, its length, and ids, labels, sizes, bitmap lengths and bitmaps of all members.
+
+    The bitmaps are matrices by length, in which a longer bitmap stands folded to half its length.
+    """
+    flat, lengths = column.flatten(), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    rep, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    bits = flat.field(3).to_pylist()
+    wide = np.array([len(b) for b in bits], np.int64)
+    tables = {}
+    for size in np.unique(wide).tolist():
+        at = np.flatnonzero(wide == size)
+        rows = np.frombuffer(b"".join(bits[i] for i in at.tolist()), np.uint8).reshape(len(at), size)
+        for part, of in ((rows, size), (rows[:, : size // 2] ^ rows[:, size // 2 :], size // 2)):
+            if of >= 8:
+                tables.setdefault(of, np.zeros((len(bits), of // 8), np.uint64))[at] = np.ascontiguousarray(part).view(np.uint64)
+    return np.cumsum(lengths) - lengths, lengths, rep, label, n, wide, tables
+
+
+def _close_pairs(many: pa.Array, hubs: pa.Array) -> np.ndarray:
+    """Of each row, the pairs (a, b) of a member and a hub with different labels whose sizes and bitmaps let them link."""
+    start, p, rep, label, n, wide, bits = _entries(many)
+    first, q, hub, other, m, broad, marks = _entries(hubs)
+    work, found, lo = np.cumsum(p * q), [np.zeros((0, 2), np.int64)], 0
+    while lo < len(p):
+        done = work[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(work, done + AT_ONCE, "right")))
+        row = np.repeat(np.arange(lo, hi), (p * q)[lo:hi])
+        within = np.arange(len(row)) - (work[row] - (p * q)[row] - done)
+        i, j = start[row] + within // q[row], first[row] + within % q[row]
+        keep = (label[i] != other[j]) & (4 * np.minimum(n[i], m[j]) >= 3 * np.maximum(n[i], m[j]))
+        i, j = i[keep], j[keep]
+        least = np.minimum(wide[i], broad[j])
+        for size in np.unique(least).tolist():
+            at = np.flatnonzero(least == size)
+            x, y = i[at], j[at]
+            differ = np.bitwise_count(bits[size][x] ^ marks[size][y]).sum(axis=1, dtype=np.int64)
+            near = 7 * ((n[x] + m[y] - differ) // 2) >= 3 * (n[x] + m[y])
+            x, y = rep[x[near]], hub[y[near]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        lo = hi
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _meetings(open_: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set of `open_` (sig, rep, n, label, size) and one of `hubs` (sig, rep, turns) of its group that may link.
+
+    Both sides meet block by block, and pairs that sizes or bitmaps rule out are never made into rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 500):
+            pairs = _close_pairs(batch.column("many"), batch.column("hubs"))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    met = open_.join(hubs.select("sig").distinct(), "sig", "left_semi").join(nodes.select("rep", "brief"), "rep")
+    turns = hubs.join(nodes.select("rep", "brief"), "rep")
+    return _blocks(met, "size", "many").join(_blocks(turns, "turns", "hubs"), "sig").select("many", "hubs").mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that link: bounds from sizes and bitmaps first, then the whole texts' sets."""
     one = lambda c: nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"bits{c}"))
@@ -176,9 +244,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Sets are equal for copies, so all work after the first pass is on distinct sets, each standing for the smallest
     doc_id that has it. Signatures that several sets share form groups; groups with the same members are one. Each
     set is compared with the smallest one of all its groups; links join components. While a group's sets are in
-    several components, its sets outside the largest are hubs in turn, all at once in small groups, four times as
-    many each round in large ones, each in four times as many of its groups as the round before, and are compared with the sets in other components, until no group has a pair that
-    is neither compared nor joined. So no link between components is lost, and a group of n similar copies costs
+    several components, its sets outside the largest are hubs in turn, all at once in small groups, eight times as
+    many each round in large ones, each in eight times as many of its groups as the round before, and are compared
+    with the sets in other components, until no group has a pair that is neither compared nor joined. Members and
+    hubs of a group meet in blocks of bounded size, and only pairs that may link become rows. So no link between components is lost, and a group of n similar copies costs
     about n comparisons. Comparison bounds the overlap by sizes and bitmaps and then intersects the whole sets.
 
     Null or empty texts, and texts without a word, have 0 shingles and are components of their own. Rows of one
@@ -188,9 +257,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     pass_one = settle(profiles(docs), "profiles")
     classes = spark.sparkContext.broadcast(frequency_classes(pass_one.where("block is not null").select("block", "part", "counts")))
-    rows = pass_one.where("block is null").select("doc_id", "n", "node", "bitmap")
-    best = F.min(F.struct("doc_id", "n", "bitmap"))
-    nodes = settle(rows.where("node is not null and doc_id is not null").groupBy("node").agg(best.alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.bitmap"), "nodes")
+    rows = pass_one.where("block is null").select("doc_id", "n", "node", "bitmap", "brief")
+    best = F.min(F.struct("doc_id", "n", "bitmap", "brief"))
+    nodes = settle(rows.where("node is not null and doc_id is not null").groupBy("node").agg(best.alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.bitmap", "x.brief"), "nodes")
     index = index_rows(docs, classes)
     groups = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
     members = index.join(groups, "sig").join(nodes.select("node", "rep"), "node").select("sig", "rep").distinct()
@@ -209,7 +278,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     several = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
     same = rows.join(several, "doc_id", "left_semi").join(nodes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = settle(links.unionByName(same), "links")
-    members, hubs = members.select("sig", "rep", "n"), 2
+    members, hubs = members.select("sig", "rep", "n"), 8
     while True:
         label = components(links)
         member = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("label"))
@@ -222,12 +291,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         some = open_.where("label <> largest").withColumn("turn", turn).where((F.col("size") <= SMALL) | (F.col("turn") <= hubs))
         # A set takes part in a few groups a round: once it is linked, its other groups need no comparison.
         some = some.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("size"), "sig"))).where(F.col("nth") <= hubs)
-        some = settle(some.select("sig", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("m")), "hubs")
-        pairs = open_.join(some, (open_["sig"] == some["sig"]) & F.expr(f"label <> la and {near}"))
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        links = settle(links.unionByName(_verify(pairs, nodes, texts)), "links")
-        members = open_.select("sig", "rep", "n").join(some.select("sig", F.col("a").alias("rep")), ["sig", "rep"], "left_anti")
-        hubs *= 4
+        turns = F.least("size", F.lit(hubs))
+        some = settle(some.select("sig", "rep", "n", "label", turns.alias("turns")), "hubs")
+        links = settle(links.unionByName(_verify(_meetings(open_, some, nodes), nodes, texts)), "links")
+        members = open_.select("sig", "rep", "n").join(some.select("sig", "rep"), ["sig", "rep"], "left_anti")
+        hubs *= 8
     found = nodes.select("node", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("found"))
     return rows.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
 

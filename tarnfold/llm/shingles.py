@@ -108,9 +108,13 @@ def difference_at_least(a: bytes, b: bytes) -> int:
 
     The longer bitmap is folded to the other's size; each differing bit needs a differing element.
     """
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
+    least = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, least) ^ folded(b, least)).sum())
+
+
+def folded(bits: bytes, most: int) -> np.ndarray:
+    """The bitmap of the same set in at most `most` bytes, a power of two."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > most:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x

@@ -51,6 +51,22 @@ def test_jaccard_join(docs):
     assert len(got[6]) == 2 and jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_sets_around_one_passage(spark):
+    """300 sets share a long passage, which makes groups of many blocks, and link only with their near copies."""
+    rng = np.random.default_rng(1)
+    some = lambda k: [f"w{x}" for x in rng.integers(0, 400, k)]
+    passage = some(60)
+    texts = [" ".join(some(5) + passage + some(18)) for _ in range(300)]
+    texts += [texts[int(i)].rsplit(" ", 1)[0] + f" z{i}" for i in rng.integers(0, 300, 40)]
+    sets, label = shingle_sets(texts), list(range(len(texts)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    for _ in range(5):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), label[i]) for i, s in enumerate(sets)}
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(1)
     for trial in range(300):
