@@ -144,7 +144,7 @@ def headers(objects: DataFrame, folder: str) -> DataFrame:
     return objects.select("digest", "shard", "offset", "length").mapInArrow(read, "digest binary, shard string, offset long, length long, width int, height int")
 
 
-READ = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
+READ = "digest binary, shard string, offset long, length long, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string, width int, height int"
 
 
 def features(objects: DataFrame, folder: str) -> DataFrame:
@@ -162,8 +162,8 @@ def features(objects: DataFrame, folder: str) -> DataFrame:
                 payload = from_image(media)
                 if hashlib.sha256(payload).digest() != x["digest"]:
                     raise ValueError(f"{name} at {x['offset']} is not what its name says")
-                rows.append((x["digest"], len(payload), x["digest"].hex(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload, x["width"], x["height"]), x["width"], x["height"]))
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+                rows.append((x["digest"], x["shard"], x["offset"], x["length"], len(payload), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).digest(), feature_of(payload, x["width"], x["height"]), x["width"], x["height"]))
+            kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32())
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=[c.split()[0] for c in READ.split(", ")])
 
@@ -182,8 +182,10 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     place = F.min(F.struct("shard", "offset", "length"))
     objects = rows.groupBy("digest").agg(place.alias("at")).select("digest", "at.*")
     objects = objects.repartition("shard").sortWithinPartitions("shard", "offset")
-    read = settle(features(headers(objects, folder), folder).join(objects, "digest"), "read")
-    return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
+    read = settle(features(headers(objects, folder), folder), "read")
+    out = rows.select("doc_id", "n_bytes", "digest").join(read, "digest")
+    text = lambda c: F.lower(F.hex(c))
+    return out.withColumns({"payload_sha256": text("digest"), "media_sha256": text("media_digest")}).drop("digest", "media_digest")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
