@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import analysis, history
+from tarnfold.plans import analysis, audits, history
 
-PARTS = [history, analysis]
+PARTS = [history, analysis, audits]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
