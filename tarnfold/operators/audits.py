@@ -1,4 +1,4 @@
-"""Audits of mappings, tags, text changes, samples and rankings."""
+"""Audits of mappings, tags, text changes, samples and rankings."""
 
 from __future__ import annotations
 
