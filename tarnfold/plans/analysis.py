@@ -136,7 +136,7 @@ def permutation_gain(spark, d):
 
 @query()
 def ridge_errors(spark, d):
-    rows = features.group_split(table(spark, d, "lineitem").limit(100000), "l_orderkey")
+    rows = features.group_split(table(spark, d, "lineitem"), "l_orderkey")
     train = rows.where("split = 'train'")
     a = features.Assembler(["l_quantity", "l_discount"], ["l_returnflag"]).fit(train)
     names = a.feature_names()
