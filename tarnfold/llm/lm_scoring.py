@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import settle
+from tarnfold.llm.common import forget, settle
 from tarnfold.llm.packing import Ids, default_tokenizer
 from tarnfold.llm.shingles import word_hashes
 from tarnfold.tables import table
@@ -18,12 +18,10 @@ from tarnfold.tables import table
 #: Width of the model, classes of ids, rows of the hashed embedding, positions of a window and positions of a window
 #: that are only context of the others.
 WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 16, 64, 4096, 32, 8
-#: One of so many training windows is trained on, in every task; windows of a step; the first id of a text and the end.
-WINDOW_RATE, STEP, BEGIN, END, VOCABULARY = 16, 16, 50256, 2, 50257
+#: Windows of a step; the first id of a text and the end; how many ids there are.
+STEP, BEGIN, END, VOCABULARY = 16, 50256, 2, 50257
 #: The most frequent words whose counts are broadcast; all others are joined.
 HEAD = 1 << 18
-#: One of so many training documents is cut into ids to count them by class.
-ID_RATE = 8
 
 
 def held_out() -> Column:
@@ -85,16 +83,32 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weig
 
 
 def trained(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass over the windows by Adam."""
-    m = {k: v.copy() for k, v in m.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    """One pass over the windows by Adam, whose sums lie in one vector for all parts of the model."""
+    names = sorted(m)
+    flat = np.concatenate([m[k].ravel() for k in names])
+    ends = np.cumsum([m[k].size for k in names])
+    m = {k: flat[end - m[k].size : end].reshape(m[k].shape) for k, end in zip(names, ends, strict=True)}
+    one, two, g, by = (np.zeros_like(flat) for _ in range(4))
     for step, lo in enumerate(range(0, len(ids), STEP), 1):
         part = slice(lo, lo + STEP)
-        for name, g in gradients(m, ids[part], goals[part], weight[part]).items():
-            one[name] += 0.1 * (g - one[name])
-            two[name] += 0.01 * (g * g - two[name])
-            m[name] -= rate * (one[name] / (1 - 0.9**step)) / (np.sqrt(two[name] / (1 - 0.99**step)) + 1e-8)
-    return {k: v.astype(np.float32) for k, v in m.items()}
+        got = gradients(m, ids[part], goals[part], weight[part])
+        for k, end in zip(names, ends, strict=True):
+            g[end - got[k].size : end] = got[k].ravel()
+        np.subtract(g, one, out=by)
+        by *= 0.1
+        one += by
+        g *= g
+        g -= two
+        g *= 0.01
+        two += g
+        np.divide(two, 1 - 0.99**step, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(one, 1 - 0.9**step, out=by)
+        by *= rate
+        by /= g
+        flat -= by
+    return m
 
 
 def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,33 +156,42 @@ def _sum_vectors(rows: DataFrame) -> np.ndarray | None:
     return np.frombuffer(zlib.decompress(bytes(got[0]["vector"])), np.float64) if got else None
 
 
-def id_counts(docs: DataFrame, path: str) -> np.ndarray:
-    """How often each id is in the texts of `docs`; a task sends one vector."""
+def cut(docs: DataFrame, path: str) -> DataFrame:
+    """(ids): the ids of each text of `docs`, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(_ids(path).of(line), "<u4").astype("<u2").tobytes() for line in _lines(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+
+    return docs.select("text").mapInArrow(run, "ids binary")
+
+
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id is in the texts of `rows` (ids); a task sends one vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(VOCABULARY)
         for batch in batches:
-            for line in _lines(batch.column("text").to_pylist()):
-                counts += np.bincount(np.frombuffer(_ids(path).of(line), "<u4"), minlength=VOCABULARY)
-                counts[END] += 1
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=VOCABULARY)
+            counts[END] += batch.num_rows
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "vector"])
 
-    got = _sum_vectors(docs.select("text").mapInArrow(run, "part int, vector binary"))
+    got = _sum_vectors(rows.mapInArrow(run, "part int, vector binary"))
     return got if got is not None else np.zeros(VOCABULARY)
 
 
 def model_of(docs: DataFrame, path: str) -> dict:
     """The model learned from the texts of `docs`.
 
-    Classes come from counts of ids in one of ID_RATE documents, by hash. Every task trains from the same start on
-    one of WINDOW_RATE of its windows, chosen by their contents; the model is the mean of the tasks' models, weighed
-    by their windows. What is trained on thus grows with the input, and the driver gets a model's size, no more.
+    Classes come from counts of ids in all texts. Every task trains from the same start on all windows of its texts;
+    the model is the mean of the tasks' models, weighed by their windows. The driver gets a model's size, no more.
     """
-    some = F.pmod(F.xxhash64("text"), F.lit(ID_RATE)) == 0
-    of, inner = class_table(id_counts(docs.where(some), path))
+    rows = settle(cut(docs, path), "ids")
+    of, inner = class_table(id_counts(rows))
     start = init()
     names = sorted(start)
 
@@ -177,19 +200,16 @@ def model_of(docs: DataFrame, path: str) -> dict:
 
         model, n = start, 0
         for batch in batches:
-            seqs = [np.frombuffer(_ids(path).of(line), "<u4").astype(np.int64) for line in _lines(batch.column("text").to_pylist())]
+            seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()]
             ids, goals, weight, _ = windows(seqs)
-            if not len(ids):
-                continue
-            mark = (ids * np.arange(1, WINDOW + 1)).sum(1) * 2654435761 % (1 << 31)
-            pick = np.flatnonzero(mark % (WINDOW_RATE // ID_RATE) == 0)
-            if len(pick):
-                model, n = trained(model, ids[pick], of[goals[pick]], weight[pick]), n + len(pick)
+            if len(ids):
+                model, n = trained(model, ids, of[goals], weight), n + len(ids)
         if n:
             flat = np.concatenate([[1.0], *(model[k].ravel() for k in names)]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())], names=["part", "vector"])
 
-    mean = _sum_vectors(docs.where(some).select("text").mapInArrow(run, "part int, vector binary"))
+    mean = _sum_vectors(rows.mapInArrow(run, "part int, vector binary"))
+    forget(docs.sparkSession, rows)
     model = start
     if mean is not None:
         mean, at, model = mean[1:] / mean[0], 0, {}

@@ -1,5 +1,9 @@
 """Operators do the whole job: no row caps, samples or lost texts."""
 
+import numpy as np
+
+from tarnfold.llm import lm_scoring
+from tarnfold.llm.packing import default_tokenizer
 from tarnfold.plans import analysis
 
 
@@ -8,3 +12,19 @@ def test_ridge_errors_reads_every_row(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = analysis.ridge_errors(spark, str(tmp_path)).collect()
     assert sum(r.n for r in got) == 120000 and len(got) == 3
+
+
+def test_lm_learns_from_every_text(spark):
+    path = default_tokenizer()
+    texts = [f"{a} {b}" for a in ("river", "stone", "window", "letter") for b in ("green", "quiet", "seven", "paper")]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    some = [r.text for r in rows.where("pmod(xxhash64(text), 8) <> 0").collect()]
+    assert len(some) > 8
+    lm = lm_scoring.model_of(rows.where("pmod(xxhash64(text), 8) <> 0"), path)
+    ids = [np.frombuffer(lm_scoring._ids(path).of(line), "<u4") for line in lm_scoring._lines(some)]
+    counts = np.bincount(np.concatenate(ids), minlength=lm_scoring.VOCABULARY).astype(float)
+    counts[lm_scoring.END] += len(some)
+    of, inner = lm_scoring.class_table(counts)
+    assert (lm["of"] == of).all() and np.allclose(lm["inner"], inner)
+    one = spark.createDataFrame([(t,) for t in some[:1]], "text string")
+    assert all(not np.array_equal(lm_scoring.model_of(x, path)["model"]["b"], lm_scoring.init()["b"]) for x in (rows, one))
