@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +35,19 @@ _NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks_of(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[str, int]]:
-    """The text blocks of a page, each with the path of elements above it, and how often each path starts.
+Path = tuple[str, ...]
+
+
+def events_of(page: str) -> list[tuple[Path, str | None]]:
+    """The elements and text blocks of a page in their order: an element's path and None, a block's path and its text.
 
     A path's step is the element's name with its class, id and role words. White space inside a block is one blank,
     character references are decoded. A paragraph ends where a block starts, unclosed elements where their parent ends.
     """
-    out: list[tuple[tuple[str, ...], str]] = []
-    starts: dict[str, int] = defaultdict(int)
+    out: list[tuple[Path, str | None]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
-    path: tuple[str, ...] = ()
+    path: Path = ()
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -96,7 +100,7 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[str, i
                 pop_to(depth)
         names = " ".join(filter(None, ((k.lower() if k.lower() in ("hidden",) else "") + " " + (a or b or c) if k.lower() != "aria-hidden" else ("hidden" if (a or b or c) == "true" else "") for k, a, b, c in _NAMES.findall(m[3])))).lower().split() if m[3] and not m[3].isspace() else []
         step = ".".join([name, *names])
-        starts["/".join([*path, step])] += 1
+        out.append(((*path, step), None))
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
@@ -106,10 +110,11 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple[str, ...], str]], dict[str, i
         stack.append((name, step))
         path = (*path, step)
     flush()
-    return out, starts
+    return out
 
 
-def dropped(path: tuple[str, ...]) -> bool:
+@lru_cache(1 << 16)
+def dropped(path: Path) -> bool:
     """Some element above is one that never holds main text, by its name or its words."""
     for step in path:
         name, *words = step.split(".")
@@ -120,8 +125,13 @@ def dropped(path: tuple[str, ...]) -> bool:
     return False
 
 
-def holds_main(path: tuple[str, ...]) -> bool:
-    return any(step.split(".")[0] in MAIN or any(MAIN_NAMES.search(w) for w in step.split(".")[1:]) for step in path)
+@lru_cache(1 << 16)
+def holder(path: Path) -> int:
+    """The length of the path down to the innermost element that names the article, by its name or else its words; 0 if none."""
+    steps = [step.split(".") for step in path]
+    named = [i for i, (name, *_) in enumerate(steps, 1) if name in MAIN]
+    worded = [i for i, (name, *words) in enumerate(steps, 1) if name not in ("html", "body") and any(MAIN_NAMES.search(w) for w in words)]
+    return max(named or worded, default=0)
 
 
 def host_of(url: str | None) -> str:
@@ -133,77 +143,161 @@ def _number(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 16)
+def _slot(path: Path) -> int:
+    return _number(*path) if path else 0
+
+
+def tokens_of(events: list[tuple[Path, str | None]]) -> list[tuple[int, int]]:
+    """The tokens of a page in their order: (number of the path, 0) of an element, (the path it is in, of the text) of a block."""
+    return [(_slot(path), 0 if text is None else _number(text) or 1) for path, text in events if text is None or not dropped(path)]
+
+
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, vector, most): in how many of the host's pages a token is, a fingerprint of its occurrence
-    vector (exclusive or over pages of a hash of page and count), and its largest count.
+    """(host, slot, text, up, pages, high, low, place, chars): in how many of the host's pages a token is, a fingerprint
+    of its occurrence vector (two sums over pages of a hash of page and count), the sum of its first places in them and
+    the characters of text in it. `up` is the element above.
 
-    Tokens are paths of elements and, outside elements that hold main text, whole blocks of text. The fingerprint is
-    summed up as an aggregate is, first in each task, so a host with a third of all pages is no trouble. Token "" is in every page.
+    Tokens are elements, by their paths, and whole blocks of text, in the article or not. The fingerprint is summed up
+    as an aggregate is, first in each task, so a host with a third of all pages is no trouble; repeated rows don't
+    cancel out. The token (0, 0) is in every page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: dict[tuple[str, str], list[int]] = {}
+            got: dict[tuple[str, int, int], list[int]] = {}
             for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                host = host_of(url)
-                blocks, starts = blocks_of(page or "")
-                tokens = {**starts, "": 1}
-                for path, text in blocks:
-                    if not holds_main(path) and not dropped(path):
-                        token = "/".join(path) + "\t" + str(_number(text))
-                        tokens[token] = tokens.get(token, 0) + 1
-                for token, n in tokens.items():
-                    x = got.setdefault((host, token), [0, 0, 0])
-                    x[0] += 1
-                    x[1] ^= _number(str(page_id), url or "", str(n))
-                    x[2] = max(x[2], n)
+                host, mark = host_of(url), f"{page_id}\0{url or ''}"
+                events = events_of(page or "")
+                tokens: dict[tuple[int, int], list[int]] = {(0, 0): [0, 1, 0, 0]}
+                above = {_slot(path): _slot(path[:-1]) for path, text in events if text is None}
+                for place, (slot, text) in enumerate(tokens_of(events), 1):
+                    tokens.setdefault((slot, text), [slot if text else above[slot], 0, place, 0])[1] += 1
+                for path, text in events:
+                    if text is not None and not dropped(path):
+                        for key in ((_slot(path), _number(text) or 1), *((_slot(path[:i]), 0) for i in range(len(path) + 1))):
+                            tokens[key][3] += len(text)
+                marks: dict[int, int] = {}
+                for (slot, text), (up, n, place, chars) in tokens.items():
+                    if n not in marks:
+                        marks[n] = _number(mark, str(n))
+                    x = got.setdefault((host, slot, text), [up, 0, 0, 0, 0, 0])
+                    for i, v in enumerate((1, marks[n] >> 32, marks[n] & 0xFFFFFFFF, place, chars), 1):
+                        x[i] += v
             keys, values = list(got), list(got.values())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))], names=["host", "token", "pages", "vector", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), *(pa.array([v[i] for v in values], pa.int64()) for i in range(6))], names=["host", "slot", "text", *_SUMMED])
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token string, pages long, vector long, most long")
-    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("most").alias("most"))
+    schema = "host string, slot long, text long, " + ", ".join(f"{c} long" for c in _SUMMED)
+    rows = pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return rows.groupBy("host", "slot", "text").agg(F.first("up").alias("up"), *[F.sum(c).alias(c) for c in _SUMMED[1:]])
+
+
+_SUMMED = ["up", "pages", "high", "low", "place", "chars"]
+
+
+def deduced(tokens: list[dict]) -> dict | None:
+    """A host's template from its frequent tokens: its classes, each a list of tokens in their order, and the characters in each element.
+
+    Tokens with one occurrence vector are an equivalence class; elements of one vector in different classes are
+    different classes, so that each nests in the class of the nearest element above of another vector. A text belongs
+    to the class of the nearest element above it that has its vector: it is there as often as this part of the
+    template. A frequent text without such an element is data. None if all text of the host would be template: pages
+    that don't differ tell nothing.
+    """
+    vector = {t["slot"]: (t["pages"], t["high"], t["low"]) for t in tokens if not t["text"]}
+    up = {t["slot"]: t["up"] for t in tokens if not t["text"] and t["slot"]}
+    known: dict[int, tuple] = {}
+
+    def class_of(slot: int) -> tuple:
+        if slot not in known:
+            above = up.get(slot)
+            while above is not None and vector[above] == vector[slot]:
+                above = up.get(above)
+            known[slot] = (vector[slot], None if above is None else class_of(above))
+        return known[slot]
+
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    total, fixed = 0, 0
+    for t in tokens:
+        at = t["slot"]
+        if not t["text"]:
+            classes[class_of(at)].append(t)
+            total = t["chars"] if not at else total
+            continue
+        while at is not None and vector.get(at) != (t["pages"], t["high"], t["low"]):
+            at = up.get(at)
+        if at is not None:
+            classes[class_of(at)].append(t)
+            fixed += t["chars"]
+    if fixed == total:
+        return None
+    ordered = [[(t["slot"], t["text"]) for t in sorted(c, key=lambda t: (t["place"], t["slot"], t["text"])) if t["slot"] or t["text"]] for c in classes.values()]
+    return {"classes": [c for c in ordered if c], "chars": [(t["slot"], t["chars"]) for t in tokens if not t["text"]]}
 
 
 def templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, template): for each host its template's tokens, as an array of (token, class, most).
+    """(host, template): for each host its deduced() template as JSON.
 
-    Tokens with one occurrence vector are an equivalence class. Classes that `share` of the host's pages have are
-    the template; classes are numbered from the most frequent down, so a class nests in those before it. A page has
-    few tokens that half of the pages share, so an array is bounded by a page's size. Hosts of fewer than `least_pages` have none.
+    Tokens that `share` of the host's pages have can be the template. A page has few tokens that half of the pages
+    share, so a template is bounded by a page's size. Hosts of fewer than `least_pages` have none.
     """
     vectors = occurrence_vectors(pages)
-    counts = vectors.where("token = ''").select("host", F.col("pages").alias("n"))
-    frequent = vectors.where("token <> ''").join(counts, "host").where((F.col("n") >= least_pages) & (F.col("pages") >= share * F.col("n")))
-    return frequent.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("rank"), "vector", "token", "most"))).alias("template"))
+    counts = vectors.where("slot = 0 and text = 0").select("host", F.col("pages").alias("n"))
+    frequent = vectors.join(counts, "host").where((F.col("n") >= least_pages) & (F.col("pages") >= share * F.col("n")))
+    tokens = frequent.groupBy("host").agg(F.collect_list(F.struct("slot", "text", *_SUMMED)).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [deduced(tokens) for tokens in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([x and json.dumps(x) for x in found], pa.string())], names=["host", "template"])
+
+    return tokens.mapInArrow(run, "host string, template string")
+
+
+class Template:
+    """A host's classes, ready to be held against a page."""
+
+    def __init__(self, template: str | None) -> None:
+        found = json.loads(template) if template else {"classes": [], "chars": []}
+        self.classes = [[tuple(t) for t in c] for c in found["classes"]]
+        self.of = {t: i for i, c in enumerate(self.classes) for t in c}
+        self.chars = dict(map(tuple, found["chars"]))
+
+    def fixed(self, tokens: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """The page's tokens that are template: those of classes whose tokens come in the class's order, once or repeatedly."""
+        seen: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t in tokens:
+            if t in self.of:
+                seen[self.of[t]].append(t)
+        return {t for i, found in seen.items() for t in self.classes[i] if found == self.classes[i] * (len(found) // len(self.classes[i]))}
 
 
-def main_text(page: str | None, template: list[dict] | None) -> str:
-    """The main text of a page: its blocks in slots of the template that hold the article.
+def main_text(page: str | None, template: Template) -> str:
+    """The main text of a page: what lies between the tokens of the template, so is data.
 
-    A block's slot is the deepest element above it that the template has. Slots under elements for menus, headers,
-    footers, notices, adverts, forms and comments are dropped. Where elements name the article, what is under them is
-    kept; else the slot with most text is, with the slots beside it under the same parent. Text that the template itself has outside the article is dropped.
+    Blocks under elements for menus, headers, footers, notices, adverts, forms and comments are dropped, and so are
+    texts that belong to a class of the template. An element that names the article is a hint: if it has data, its
+    fixed texts (a headline that all pages have) stay with them. A page that has no data, or whose host has no template,
+    keeps what such elements hold.
     """
-    blocks, _ = blocks_of(page or "")
-    kept = [(path, text) for path, text in blocks if not dropped(path)]
-    named = [(path, text) for path, text in kept if holds_main(path)]
-    if named:
-        return "\n\n".join(text for _, text in named)
-    paths = {t["token"] for t in template or ()}
-    kept = [(path, text) for path, text in kept if "/".join(path) + "\t" + str(_number(text)) not in paths]
-    volume: dict[tuple[str, ...], int] = defaultdict(int)
-
-    def slot(path: tuple[str, ...]) -> tuple[str, ...]:
-        while path and (path[-1].split(".")[0] not in ("div", "section", "td", "body") or paths and "/".join(path) not in paths):
-            path = path[:-1]
-        return path
-
-    for path, text in kept:
-        volume[slot(path)] += len(text)
-    if not volume:
-        return ""
-    best = max(volume, key=lambda p: (volume[p], -len(p), p))
-    return "\n\n".join(text for path, text in kept if path[: len(best)] == best)
+    events = events_of(page or "")
+    kept = [(path, text) for path, text in events if text is not None and not dropped(path)]
+    fixed = template.fixed(tokens_of(events))
+    data = [(_slot(path), _number(text) or 1) not in fixed for path, text in kept]
+    regions = {path[: holder(path)] for (path, _), new in zip(kept, data, strict=True) if new and holder(path)}
+    if not any(data) or regions and not template.classes:
+        return "\n\n".join(text for path, text in kept if holder(path))
+    volume: dict[Path, int] = defaultdict(int)
+    for (path, text), new in zip(kept, data, strict=True):
+        if new and not regions:
+            at = path
+            while at and (at[-1].split(".")[0] not in ("div", "section", "td", "body") or template.chars and _slot(at) not in template.chars):
+                at = at[:-1]
+            volume[at] += len(text)
+    if volume:
+        best = max(volume, key=lambda p: (volume[p], -len(p), p))
+        return "\n\n".join(text for (path, text), new in zip(kept, data, strict=True) if new and path[: len(best)] == best)
+    return "\n\n".join(text for (path, text), new in zip(kept, data, strict=True) if new or path[: holder(path)] in regions)
 
 
 def extracted(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -218,8 +312,14 @@ def extracted(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_P
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(templates(pages, share, least_pages), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Template] = {}
         for batch in batches:
-            texts = [main_text(page, template) for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            texts = []
+            for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+                if template not in known:
+                    known.clear() if len(known) > 256 else None
+                    known[template] = Template(template)
+                texts.append(main_text(page, known[template]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

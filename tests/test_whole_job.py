@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tarnfold.llm import lm_scoring
+from tarnfold.llm import html_extract, lm_scoring
 from tarnfold.llm.packing import default_tokenizer
 from tarnfold.plans import analysis
 
@@ -28,3 +28,29 @@ def test_lm_learns_from_every_text(spark):
     assert (lm["of"] == of).all() and np.allclose(lm["inner"], inner)
     one = spark.createDataFrame([(t,) for t in some[:1]], "text string")
     assert all(not np.array_equal(lm_scoring.model_of(x, path)["model"]["b"], lm_scoring.init()["b"]) for x in (rows, one))
+
+
+def extracted(spark, pages, host="http://h.example/"):
+    rows = spark.createDataFrame([(i, f"{host}{i}", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extracted(rows).collect()}
+
+
+def test_html_template_decides_beside_article_elements(spark):
+    fixed = [f"<main><p>We are the best shop in town.</p></main><div id=text><p>Story {i} is a long one about page {i}.</p><p>End {i}</p></div><div id=end>Call us</div>" for i in range(6)]
+    assert extracted(spark, fixed) == {i: f"Story {i} is a long one about page {i}.\n\nEnd {i}" for i in range(6)}
+    beside = [f"<div id=top>Motto of all</div><article><h1>News</h1><p>Body {i}</p></article><div id=rest><p>Second part {i}</p></div><div id=end>Call us</div>" for i in range(6)]
+    assert extracted(spark, beside) == {i: f"News\n\nBody {i}\n\nSecond part {i}" for i in range(6)}
+    # A text of two pages in three is data unless it comes and goes with an element of the template.
+    often = [f"<div id=top>Motto</div><div id=text><p>Story {i} is long.</p>{'<p>As they say.</p>' if i % 3 else '<p>Or not {i}.</p>'}</div>{'<div id=sale><b>Sale</b></div>' if i % 2 else ''}" for i in range(6)]
+    assert all(("As they say." in t) == (i % 3 > 0) and "Sale" not in t and "Motto" not in t for i, t in extracted(spark, often).items())
+
+
+def test_html_classes_are_ordered_and_nested():
+    pages = [html_extract.events_of("<body><ul>" + "<li>Go</li>" * 3 + "</ul><div>" + "<h5>Go on</h5>" * 3 + f"</div><p>Text {i}</p><table>" + "<tr><td>Key</td></tr>" * (i + 1) + "</table></body>") for i in range(4)]
+    tokens = [html_extract.tokens_of(e) for e in pages]
+    template = html_extract.Template(None)
+    number = lambda *path: (html_extract._slot(path), 0)
+    one, two = number("body", "ul", "li"), number("body", "div", "h5")
+    template.classes = [[one, two], [number("body", "table", "tr"), number("body", "table", "tr", "td")]]
+    template.of = {t: i for i, c in enumerate(template.classes) for t in c}
+    assert all(template.fixed(t) == set(template.classes[1]) for t in tokens)
