@@ -273,7 +273,7 @@ class Template:
 
 
 def main_text(page: str | None, template: Template) -> str:
-    """The main text of a page: what lies between the tokens of the template, so is data.
+    """The main text of a page: what lies in any slot between the tokens of the template, so is data.
 
     Blocks under elements for menus, headers, footers, notices, adverts, forms and comments are dropped, and so are
     texts that belong to a class of the template. An element that names the article is a hint: if it has data, its
@@ -287,16 +287,6 @@ def main_text(page: str | None, template: Template) -> str:
     regions = {path[: holder(path)] for (path, _), new in zip(kept, data, strict=True) if new and holder(path)}
     if not any(data) or regions and not template.classes:
         return "\n\n".join(text for path, text in kept if holder(path))
-    volume: dict[Path, int] = defaultdict(int)
-    for (path, text), new in zip(kept, data, strict=True):
-        if new and not regions:
-            at = path
-            while at and (at[-1].split(".")[0] not in ("div", "section", "td", "body") or template.chars and _slot(at) not in template.chars):
-                at = at[:-1]
-            volume[at] += len(text)
-    if volume:
-        best = max(volume, key=lambda p: (volume[p], -len(p), p))
-        return "\n\n".join(text for (path, text), new in zip(kept, data, strict=True) if new and path[: len(best)] == best)
     return "\n\n".join(text for (path, text), new in zip(kept, data, strict=True) if new or path[: holder(path)] in regions)
 
 

@@ -54,3 +54,10 @@ def test_html_classes_are_ordered_and_nested():
     template.classes = [[one, two], [number("body", "table", "tr"), number("body", "table", "tr", "td")]]
     template.of = {t: i for i, c in enumerate(template.classes) for t in c}
     assert all(template.fixed(t) == set(template.classes[1]) for t in tokens)
+
+
+def test_html_keeps_every_slot_of_a_split_body(spark):
+    split = [f"<div id=top>Site name</div><div id=text>Lead {i}<section id=intro><p>Intro {i}</p></section><section id=methods><p>Methods of page {i}, a longer text.</p></section></div><div class=rest>Rest {i}</div><div id=end>Call us</div>" for i in range(5)]
+    want = {i: f"Lead {i}\n\nIntro {i}\n\nMethods of page {i}, a longer text.\n\nRest {i}" for i in range(5)}
+    assert extracted(spark, split) == want
+    assert extracted(spark, [f"<div class=lead>Lead {i}</div><div class=rest>The rest {i}</div>" for i in range(2)]) == {i: f"Lead {i}\n\nThe rest {i}" for i in range(2)}
