@@ -24,7 +24,7 @@ SHARE, LEAST_PAGES = 0.5, 3
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe svg math object select title xmp noembed noframes canvas audio video".split())
-DROPPED = set("nav header footer aside form button menu dialog head script style noscript template textarea iframe svg math object select title".split())
+DROPPED = set("nav header footer aside button menu dialog head script style noscript template textarea iframe svg math object select title".split())
 MAIN = set("article main".split())
 DROPPED_NAMES = re.compile(r"(?:^|[-_])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|gdpr|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget\w*|toolbar|skip)(?:$|[-_])")
 MAIN_NAMES = re.compile(r"(?:^|[-_])(?:article|articlebody|main|content|post|entry|story|body-?text)(?:$|[-_])")
@@ -115,14 +115,32 @@ def events_of(page: str) -> list[tuple[Path, str | None]]:
 
 @lru_cache(1 << 16)
 def dropped(path: Path) -> bool:
-    """Some element above is one that never holds main text, by its name or its words."""
-    for step in path:
-        name, *words = step.split(".")
-        if name in DROPPED or "hidden" in words:
-            return True
-        if name not in MAIN and name not in ("html", "body") and any(DROPPED_NAMES.search(w) for w in words):
-            return True
-    return False
+    """Some element above is one that never holds main text, by its name, or is hidden."""
+    return any(name in DROPPED or "hidden" in words for name, *words in (step.split(".") for step in path))
+
+
+@lru_cache(1 << 16)
+def doubted(path: Path) -> tuple[Path, ...]:
+    """The paths of the elements above that hold no main text, by their words or as forms, unless they wrap the page's."""
+    steps = [step.split(".") for step in path]
+    return tuple(path[:i] for i, (name, *words) in enumerate(steps, 1) if name == "form" or name not in MAIN and name not in ("html", "body") and any(DROPPED_NAMES.search(w) for w in words))
+
+
+def wrappers(events: list[tuple[Path, str | None]], template: Template) -> set[Path]:
+    """Of the doubted elements, those that wrap the page: they hold most of the text of the host's pages (of this page if
+    the template lacks them) and, where the page has elements that name the article, one of those."""
+    main = {path[:i] for path, text in events if text is None and path[-1].split(".")[0] in MAIN and not dropped(path) for i in range(len(path))}
+    size: dict[Path, int] = defaultdict(int)
+    for path, text in events:
+        if text is not None and not dropped(path):
+            for i in range(len(path) + 1):
+                size[path[:i]] += len(text)
+    found = set()
+    for path in {x for at, text in events if text is not None for x in doubted(at)}:
+        held, of = (template.chars[_slot(path)], template.chars[0]) if _slot(path) in template.chars else (size[path], size[()])
+        if 2 * held > of and (not main or path in main):
+            found.add(path)
+    return found
 
 
 @lru_cache(1 << 16)
@@ -275,13 +293,16 @@ class Template:
 def main_text(page: str | None, template: Template) -> str:
     """The main text of a page: what lies in any slot between the tokens of the template, so is data.
 
-    Blocks under elements for menus, headers, footers, notices, adverts, forms and comments are dropped, and so are
-    texts that belong to a class of the template. An element that names the article is a hint: if it has data, its
+    Blocks under elements for menus, headers, footers, notices, adverts, forms and comments are dropped (class words and
+    forms need to be less than a wrapper of the page, see wrappers()), and so are texts that belong to a class of the template. An element that names the article is a hint: if it has data, its
     fixed texts (a headline that all pages have) stay with them. A page that has no data, or whose host has no template,
     keeps what such elements hold.
     """
     events = events_of(page or "")
     kept = [(path, text) for path, text in events if text is not None and not dropped(path)]
+    if any(doubted(path) for path, _ in kept):
+        wraps = wrappers(events, template)
+        kept = [(path, text) for path, text in kept if wraps.issuperset(doubted(path))]
     fixed = template.fixed(tokens_of(events))
     data = [(_slot(path), _number(text) or 1) not in fixed for path, text in kept]
     regions = {path[: holder(path)] for (path, _), new in zip(kept, data, strict=True) if new and holder(path)}

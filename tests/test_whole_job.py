@@ -61,3 +61,11 @@ def test_html_keeps_every_slot_of_a_split_body(spark):
     want = {i: f"Lead {i}\n\nIntro {i}\n\nMethods of page {i}, a longer text.\n\nRest {i}" for i in range(5)}
     assert extracted(spark, split) == want
     assert extracted(spark, [f"<div class=lead>Lead {i}</div><div class=rest>The rest {i}</div>" for i in range(2)]) == {i: f"Lead {i}\n\nThe rest {i}" for i in range(2)}
+
+
+def test_html_class_words_of_wrappers_keep_the_article(spark):
+    for n in (1, 5):
+        for tag in ("div class='layout has-sidebar'", "div class=no-sidebar", "div class=with-comments", "form action='/x'"):
+            for open_, close in (("<article>", "</article>"), ("<div id=text>", "</div>")):
+                pages = [f"<{tag}>{open_}<p>Story {i} goes on for a good while.</p>{close}<div class=sidebar>Side {i}</div><div class=comments><article>Me too {i}</article></div><form>Your mail {i}</form></{tag.split()[0]}>" for i in range(n)]
+                assert extracted(spark, pages) == {i: f"Story {i} goes on for a good while." for i in range(n)}, (n, tag, open_)
