@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnfold.llm.common import forget, settle
+from tarnfold.llm.common import forget, settle, small_batches
 from tarnfold.llm.packing import Ids, default_tokenizer
 from tarnfold.llm.shingles import word_hashes
 from tarnfold.tables import table
@@ -78,37 +79,49 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weig
         dx += dz @ m[name].T
     g["p"] = dx.sum(0)
     g["e"] = np.zeros_like(m["e"])
-    np.add.at(g["e"], (ids % EMBEDDED).ravel(), flat(dx))
+    np.add.at(g["e"].reshape(-1), ((ids % EMBEDDED).reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dx.ravel())
     return g
 
 
+class Adam:
+    """A model in training; its sums lie in one vector for all parts of the model and last as long as the task."""
+
+    def __init__(self, m: dict[str, np.ndarray], rate: float = 0.01) -> None:
+        self.names, self.rate, self.step = sorted(m), rate, 0
+        self.flat = np.concatenate([m[k].ravel() for k in self.names])
+        self.ends = np.cumsum([m[k].size for k in self.names])
+        self.model = {k: self.flat[end - m[k].size : end].reshape(m[k].shape) for k, end in zip(self.names, self.ends, strict=True)}
+        self.one, self.two, self.g, self.by = (np.zeros_like(self.flat) for _ in range(4))
+
+    def learn(self, ids: np.ndarray, goals: np.ndarray, weight: np.ndarray) -> None:
+        one, two, g, by = self.one, self.two, self.g, self.by
+        for lo in range(0, len(ids), STEP):
+            self.step += 1
+            part = slice(lo, lo + STEP)
+            got = gradients(self.model, ids[part], goals[part], weight[part])
+            for k, end in zip(self.names, self.ends, strict=True):
+                g[end - got[k].size : end] = got[k].ravel()
+            np.subtract(g, one, out=by)
+            by *= 0.1
+            one += by
+            g *= g
+            g -= two
+            g *= 0.01
+            two += g
+            np.divide(two, 1 - 0.99**self.step, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(one, 1 - 0.9**self.step, out=by)
+            by *= self.rate
+            by /= g
+            self.flat -= by
+
+
 def trained(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass over the windows by Adam, whose sums lie in one vector for all parts of the model."""
-    names = sorted(m)
-    flat = np.concatenate([m[k].ravel() for k in names])
-    ends = np.cumsum([m[k].size for k in names])
-    m = {k: flat[end - m[k].size : end].reshape(m[k].shape) for k, end in zip(names, ends, strict=True)}
-    one, two, g, by = (np.zeros_like(flat) for _ in range(4))
-    for step, lo in enumerate(range(0, len(ids), STEP), 1):
-        part = slice(lo, lo + STEP)
-        got = gradients(m, ids[part], goals[part], weight[part])
-        for k, end in zip(names, ends, strict=True):
-            g[end - got[k].size : end] = got[k].ravel()
-        np.subtract(g, one, out=by)
-        by *= 0.1
-        one += by
-        g *= g
-        g -= two
-        g *= 0.01
-        two += g
-        np.divide(two, 1 - 0.99**step, out=g)
-        np.sqrt(g, out=g)
-        g += 1e-8
-        np.divide(one, 1 - 0.9**step, out=by)
-        by *= rate
-        by /= g
-        flat -= by
-    return m
+    """One pass over the windows by Adam."""
+    adam = Adam(m, rate)
+    adam.learn(ids, goals, weight)
+    return adam.model
 
 
 def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,14 +170,15 @@ def _sum_vectors(rows: DataFrame) -> np.ndarray | None:
 
 
 def cut(docs: DataFrame, path: str) -> DataFrame:
-    """(ids): the ids of each text of `docs`, two bytes each."""
+    """`docs` plus ids: the ids of each text, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(_ids(path).of(line), "<u4").astype("<u2").tobytes() for line in _lines(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+            for some in small_batches([batch]):
+                ids = [np.frombuffer(_ids(path).of(line), "<u4").astype("<u2").tobytes() for line in _lines(some.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ids, pa.binary())], names=[*some.schema.names, "ids"])
 
-    return docs.select("text").mapInArrow(run, "ids binary")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
 def id_counts(rows: DataFrame) -> np.ndarray:
@@ -180,17 +194,16 @@ def id_counts(rows: DataFrame) -> np.ndarray:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "vector"])
 
-    got = _sum_vectors(rows.mapInArrow(run, "part int, vector binary"))
+    got = _sum_vectors(rows.select("ids").mapInArrow(run, "part int, vector binary"))
     return got if got is not None else np.zeros(VOCABULARY)
 
 
-def model_of(docs: DataFrame, path: str) -> dict:
-    """The model learned from the texts of `docs`.
+def model_of(rows: DataFrame) -> dict:
+    """The model learned from the texts of `rows` (ids).
 
     Classes come from counts of ids in all texts. Every task trains from the same start on all windows of its texts;
     the model is the mean of the tasks' models, weighed by their windows. The driver gets a model's size, no more.
     """
-    rows = settle(cut(docs, path), "ids")
     of, inner = class_table(id_counts(rows))
     start = init()
     names = sorted(start)
@@ -198,18 +211,16 @@ def model_of(docs: DataFrame, path: str) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, n = start, 0
-        for batch in batches:
-            seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()]
-            ids, goals, weight, _ = windows(seqs)
-            if len(ids):
-                model, n = trained(model, ids, of[goals], weight), n + len(ids)
+        adam, n = Adam(start), 0
+        for batch in small_batches(batches, 256):
+            ids, goals, weight, _ = windows([np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()])
+            adam.learn(ids, of[goals], weight)
+            n += len(ids)
         if n:
-            flat = np.concatenate([[1.0], *(model[k].ravel() for k in names)]).astype(np.float64) * n
+            flat = np.concatenate([[1.0], *(adam.model[k].ravel() for k in names)]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())], names=["part", "vector"])
 
-    mean = _sum_vectors(rows.mapInArrow(run, "part int, vector binary"))
-    forget(docs.sparkSession, rows)
+    mean = _sum_vectors(rows.select("ids").mapInArrow(run, "part int, vector binary"))
     model = start
     if mean is not None:
         mean, at, model = mean[1:] / mean[0], 0, {}
@@ -257,7 +268,8 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
-    train = docs.where(~held_out()).select("text")
+    base = settle(cut(docs.select("doc_id", "text", held_out().alias("held_out")), path), "texts")
+    train = base.where("not held_out").select("text", "ids")
     counts = settle(word_counts(train), "words")
     ends = train.count()
     total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
@@ -265,7 +277,7 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
     top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
     hashes = top["h"].to_numpy(np.int64)
     order = np.argsort(hashes)
-    shared = spark.sparkContext.broadcast({"h": hashes[order], "c": top["c"].to_numpy(np.int64)[order], "lm": model_of(train, path)})
+    shared = spark.sparkContext.broadcast({"h": hashes[order], "c": top["c"].to_numpy(np.int64)[order], "lm": model_of(train)})
     floor = np.log10(n + v + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +295,14 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
                 text = np.repeat(np.arange(len(part)), per)
                 base = np.bincount(text[hit], np.log10(c[hit] + 1.0), minlength=len(part)) + np.log10(ends + 1.0)
                 seen = np.bincount(text[hit], minlength=len(part)) + (ends > 0)
-                scores = log10_scores(lm, [np.frombuffer(_ids(path).of(line), "<u4").astype(np.int64) for line in _lines(part)])
+                scores = log10_scores(lm, [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").slice(lo, len(part)).to_pylist()])
                 rest, where = h[~hit], np.searchsorted(text[~hit], np.arange(len(part) + 1))
                 tails = [rest[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(part)), batch.column("held_out").slice(lo, len(part)), pa.array(per + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(scores), pa.array(tails, pa.binary())], names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "tail"])
 
-    rows = docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, tail binary")
+    rows = base.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, tail binary")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    forget(spark, base)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +313,8 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
     tail = rows.select("row", "tail").where("length(tail) > 0").mapInArrow(spread, "row long, h long")
     more = tail.join(counts, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("gain"))
     out = rows.drop("tail").join(more, "row", "left")
-    base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    whole = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), whole.alias("base_score"), "score")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

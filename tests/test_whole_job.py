@@ -20,14 +20,14 @@ def test_lm_learns_from_every_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     some = [r.text for r in rows.where("pmod(xxhash64(text), 8) <> 0").collect()]
     assert len(some) > 8
-    lm = lm_scoring.model_of(rows.where("pmod(xxhash64(text), 8) <> 0"), path)
+    lm = lm_scoring.model_of(lm_scoring.cut(rows.where("pmod(xxhash64(text), 8) <> 0"), path))
     ids = [np.frombuffer(lm_scoring._ids(path).of(line), "<u4") for line in lm_scoring._lines(some)]
     counts = np.bincount(np.concatenate(ids), minlength=lm_scoring.VOCABULARY).astype(float)
     counts[lm_scoring.END] += len(some)
     of, inner = lm_scoring.class_table(counts)
     assert (lm["of"] == of).all() and np.allclose(lm["inner"], inner)
     one = spark.createDataFrame([(t,) for t in some[:1]], "text string")
-    assert all(not np.array_equal(lm_scoring.model_of(x, path)["model"]["b"], lm_scoring.init()["b"]) for x in (rows, one))
+    assert all(not np.array_equal(lm_scoring.model_of(lm_scoring.cut(x, path))["model"]["b"], lm_scoring.init()["b"]) for x in (rows, one))
 
 
 def extracted(spark, pages, host="http://h.example/"):
