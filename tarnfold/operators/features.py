@@ -1,4 +1,4 @@
-"""Leak-safe features, splits, models and their checks (M1-M11, ML1-ML8, X1-X5, A19-A20)."""
+"""Leak-safe features, splits, models and their checks (M1-M11, ML1, ML2, ML4, ML6-ML8, X2-X5, A19-A20)."""
 
 from __future__ import annotations
 
@@ -48,7 +48,7 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, share: float, lea
 
 
 class Assembler:
-    """M9: medians, indicators and frequent levels learned from training rows only; transform() adds plain columns."""
+    """M9 in part: medians, indicators and frequent levels learned from training rows only; transform() adds plain columns."""
 
     def __init__(self, numeric: list[str], categorical: list[str], least: int = 20) -> None:
         self.numeric, self.categorical, self.least = numeric, categorical, least
@@ -59,7 +59,7 @@ class Assembler:
         row = train.agg(*[F.expr(f"percentile({c}, 0.5)").alias(c) for c in self.numeric]).first()
         self.medians = {c: row[c] for c in self.numeric}
         for c in self.categorical:
-            rows = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") >= self.least).orderBy(F.desc("n"), c).limit(1000).collect()
+            rows = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") >= self.least).collect()
             self.levels[c] = sorted(r[c] for r in rows)
         return self
 
@@ -80,7 +80,7 @@ class Assembler:
 
 
 def evaluate(train: DataFrame, rows: DataFrame, features: list[str], y: str, kind: str = "ridge", **params) -> DataFrame:
-    """ML2-ML4: fit on `train`, add `guess` to `rows`: dummy_mean, dummy_median, ridge, forest or boosted trees."""
+    """ML2, ML4: fit on `train`, add `guess` to `rows`: dummy_mean, dummy_median, ridge, forest or boosted trees."""
     if kind.startswith("dummy"):
         how = F.avg(y) if kind == "dummy_mean" else F.expr(f"percentile({y}, 0.5)")
         return rows.withColumn("guess", F.lit(train.agg(how).first()[0]))
@@ -94,7 +94,7 @@ def evaluate(train: DataFrame, rows: DataFrame, features: list[str], y: str, kin
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """ML6, X2: the mean of `value` in each round of resampling by Poisson weights that a hash of key and round draws."""
+    """ML6, X2 in part: the mean of `value` in each round of resampling by Poisson weights that a hash of key and round draws."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     steps, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):

@@ -4,6 +4,7 @@ import numpy as np
 
 from tarnfold.llm import html_extract, lm_scoring
 from tarnfold.llm.packing import default_tokenizer
+from tarnfold.operators import features
 from tarnfold.plans import analysis
 
 
@@ -69,3 +70,8 @@ def test_html_class_words_of_wrappers_keep_the_article(spark):
             for open_, close in (("<article>", "</article>"), ("<div id=text>", "</div>")):
                 pages = [f"<{tag}>{open_}<p>Story {i} goes on for a good while.</p>{close}<div class=sidebar>Side {i}</div><div class=comments><article>Me too {i}</article></div><form>Your mail {i}</form></{tag.split()[0]}>" for i in range(n)]
                 assert extracted(spark, pages) == {i: f"Story {i} goes on for a good while." for i in range(n)}, (n, tag, open_)
+
+
+def test_assembler_keeps_every_frequent_level(spark):
+    rows = spark.range(2200).selectExpr("id", "concat('k', id % 1100) as level")
+    assert len(features.Assembler(["id"], ["level"], least=2).fit(rows).levels["level"]) == 1100
