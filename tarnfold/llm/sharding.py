@@ -11,7 +11,6 @@ from tarnfold.llm.common import forget, settle
 from tarnfold.tables import table
 
 SHARDS = 24
-ROUNDS = 6
 #: Share of its fair part of all bytes that linked documents may fill in a shard while labels move.
 FILL = 0.98
 #: Hash ranges for running sums and slots, so that no window holds a whole shard or group.
@@ -33,32 +32,35 @@ def _running(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.join(sums, [*keys, "_range"]).withColumn("_before", F.col("_start") + F.col("_inner")).drop("_start", "_inner")
 
 
-def propagate(linked: DataFrame, capacity: float, rounds: int) -> DataFrame:
+def propagate(linked: DataFrame, capacity: float) -> DataFrame:
     """Label propagation over linked rows (place, group, size, mark, shard, _range).
 
     In a round each group's members vote for shards with their bytes; the group's goal is the shard with most votes
-    that isn't full (a hash breaks ties). Members in a shard with fewer votes ask to move to the goal, which grants
+    that has room for a member with fewer (a hash breaks ties). Members in a shard with fewer votes ask to move to the goal, which grants
     requests, group by group in hash order, while a running sum of bytes stays within its quota. A group too large
-    for a shard thus fills one shard a round. Per round: an aggregation to at most one vote a group and shard, an
+    for a shard thus fills one shard a round. Rounds end when no request is granted; every move goes where the group has
+    more bytes, so the sum of squares of votes grows and the rounds come to an end. Per round: an aggregation to at most one vote a group and shard, an
     equi-join with the votes, and one to the quotas, of which there is one row a shard.
     """
     spark = linked.sparkSession
-    for _ in range(rounds):
+    while True:
         load = linked.groupBy("shard").agg(F.sum("size").alias("load"))
-        votes = linked.groupBy("group", "shard").agg(F.sum("size").alias("weight"))
+        votes = linked.groupBy("group", "shard").agg(F.sum("size").alias("weight"), F.min("size").alias("least"))
         rank = F.struct("weight", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("tie"), "shard")
-        votes = votes.join(F.broadcast(load), "shard").select("group", "shard", "load", rank.alias("vote"))
-        goals = votes.where(F.col("load") < 0.99 * capacity).groupBy("group").agg(F.max("vote").alias("goal"))
+        votes = votes.join(F.broadcast(load), "shard").select("group", "shard", "load", "least", rank.alias("vote"))
+        fewer = Window.partitionBy("group").orderBy("vote").rowsBetween(Window.unboundedPreceding, -1)
+        goals = votes.withColumn("least", F.min("least").over(fewer)).where(F.col("load") + F.col("least") <= capacity).groupBy("group").agg(F.max("vote").alias("goal"))
         moves = votes.join(goals, "group").where("vote < goal").select("group", "shard", F.col("goal.shard").alias("to"))
         asks = linked.join(moves, ["group", "shard"]).select("place", "size", "mark", "_range", F.col("to").alias("shard"))
-        asks = _running(asks, ["shard"], "size").join(F.broadcast(load), "shard", "left")
-        granted = asks.where(F.col("_before") + F.col("size") + F.coalesce("load", F.lit(0)) <= capacity)
+        asks = asks.join(F.broadcast(load), "shard").where(F.col("size") + F.col("load") <= capacity)
+        asks = _running(asks, ["shard"], "size")
+        granted = asks.where(F.col("_before") + F.col("size") + F.col("load") <= capacity)
         granted = granted.select("place", F.col("shard").alias("to"))
-        moved = linked.join(granted, "place", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
-        new = settle(moved, "shards")
+        new = settle(linked.join(granted, "place", "left"), "shards")
         forget(spark, linked)
-        linked = new
-    return linked
+        linked = new.withColumn("shard", F.coalesce("to", "shard")).drop("to")
+        if new.where("to is not null and size > 0").isEmpty():
+            return linked
 
 
 def _filled(rows: DataFrame, rooms: list[float]) -> DataFrame:
@@ -69,7 +71,7 @@ def _filled(rows: DataFrame, rooms: list[float]) -> DataFrame:
     return _running(rows, ["_key"], "size").select("place", shard.alias("shard"))
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """`docs`, which has doc_id, group and size (bytes), plus shard and slot: near-equal bytes, few links cut.
 
     Documents of one `group` value are linked; a group is a hub that its members vote through, so a group of n
@@ -89,12 +91,14 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     if total is None:
         return base.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).drop("place", "mark")
     fair = total / shards
-    several = base.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select("group")
+    group = F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit("")).alias("group")
+    grouped = base.select("place", group, "size", "mark")
+    several = grouped.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select("group")
     start = F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(shards)).cast("int")
     kin = F.xxhash64("group", F.lit(2))
-    linked = base.join(several, "group", "left_semi")
+    linked = grouped.join(several, "group", "left_semi")
     linked = linked.select("place", "group", "size", "mark", start.alias("shard"), _ranges(kin, F.col("mark")).alias("_range"))
-    linked = propagate(settle(linked, "shards"), fair * FILL, rounds)
+    linked = propagate(settle(linked, "shards"), fair * FILL)
     ranked = _running(linked, ["shard"], "size")
     held = settle(ranked.where(F.col("_before") + F.col("size") <= fair).select("place", "shard", "size"), "held")
     free = base.select("place", "size", "mark").join(held.select("place"), "place", "left_anti")

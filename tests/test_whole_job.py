@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tarnfold.llm import html_extract, lm_scoring
+from tarnfold.llm import html_extract, lm_scoring, sharding
 from tarnfold.llm.packing import default_tokenizer
 from tarnfold.operators import features
 from tarnfold.plans import analysis
@@ -75,3 +75,13 @@ def test_html_class_words_of_wrappers_keep_the_article(spark):
 def test_assembler_keeps_every_frequent_level(spark):
     rows = spark.range(2200).selectExpr("id", "concat('k', id % 1100) as level")
     assert len(features.Assembler(["id"], ["level"], least=2).fit(rows).levels["level"]) == 1100
+
+
+def test_shards_gather_large_and_null_groups(spark):
+    rows = [(i, "big" if i < 480 else f"g{i}", 10) for i in range(960)] + [(i, None, 10) for i in range(960, 970)]
+    docs = spark.createDataFrame(rows, "doc_id long, group string, size long")
+    got = sharding.balanced_shards(docs).collect()
+    big = [r.shard for r in got if r.group == "big"]
+    assert len(got) == len(rows) and max(big.count(s) for s in set(big)) <= 41
+    assert len(set(big)) <= 14  # 480 of 970 documents need 12 of 24 shards
+    assert len({r.shard for r in got if r.group is None}) == 1
