@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,53 +17,58 @@ from tarnfold.tables import table
 
 CAPACITY = 1024
 END_ID = 2
-#: Open sequences that a task holds at most, and short pieces that a task packs about.
-OPEN_BINS, TASK_PIECES = 2048, 40_000
-#: Distinct pre-tokens that a worker remembers at most.
-REMEMBERED = 400_000
+#: Open sequences that a task holds at most, and pieces that a task packs about.
+OPEN_BINS, TASK_PIECES = 64, 100_000
 
-#: The pre-token pattern of the byte-level vocabulary, with the letters and digits that it can meet in
-#: a text that _PLAIN matches (ASCII, white space of ASCII, Latin letters up to U+017F and some punctuation marks).
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}¿¡«»–—‘’“”…€§©®°]*")
-_SPECIAL = "<|"
+#: The pre-token pattern of byte-level vocabularies, and the bytes that stand for themselves in them; the
+#: others stand for themselves plus 256, in order.
+_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes, the same as the tokenizer file gives.
 
-    Texts in plain Latin characters are cut by the vocabulary's own pattern, and ids of pre-tokens, which the
-    tokenizer makes, are remembered; all other texts, and those that may hold a special token, go to the tokenizer
-    whole.
+    A byte-level BPE file is run by its merges' ranks, which is several times faster; texts that may hold a special
+    token, and all texts of other files, go to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, got, strict=True)}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        if len(new) <= REMEMBERED:
-            self.known |= new
-        return new
+        self.path, self.whole, self.core = path, None, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        cut, model = file["pre_tokenizer"] or {}, file["model"]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and file["normalizer"] is None
+        rules = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if plain and model["type"] == "BPE" and not any(model.get(x) for x in rules):
+            self._rank(model, [t["content"] for t in file["added_tokens"]])
+        else:
+            self.added = []
+
+    def _rank(self, model: dict, added: list[str]) -> None:
+        import tiktoken
+
+        rest = [b for b in range(256) if b not in set(_SELF)]
+        sign = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        byte = {c: b for b, c in sign.items()}
+        ranks = {bytes([b]): b for b in range(256)}
+        ids = [model["vocab"][sign[b]] for b in range(256)]
+        for merge in model["merges"]:
+            token = "".join(merge if isinstance(merge, list) else merge.split(" "))
+            if ranks.setdefault(bytes(byte[c] for c in token), len(ranks)) == len(ids):
+                ids.append(model["vocab"][token])
+        self.ids, self.added = np.array(ids, "<u4"), added
+        self.core = tiktoken.Encoding("ranks", pat_str=_PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def of(self, text: str) -> bytes:
-        if _SPECIAL in text or _PLAIN.fullmatch(text) is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = _PRE_TOKEN.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            here = {w: self.known[w] for w in set(words) if w in self.known} | self._learn(new)
-            return b"".join(map(here.__getitem__, words))
+        if self.core is not None and not any(t in text for t in self.added):
+            return self.ids[np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set()), np.uint32)].tobytes()
+        if self.whole is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _IDS: dict[str, Ids] = {}
@@ -112,12 +117,12 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind))
 
 
-def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int], set[int]]:
-    """Bin and offset of each length, in the order given, and the bins that were still open at the end.
+def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:
+    """Bin and offset of each length, in the order given, with `open_bins` bins open at most.
 
     Open bins stand in stacks by free space; bit f of an integer says whether the stack for free space f has one. A
-    piece goes to the bin with the least free space that holds it. If none does, a bin is opened, and when `open_bins`
-    are open already, the fullest closes first. A full bin is closed at once.
+    piece goes to the bin with the least free space that holds it, the one used last of several. If none does, a bin
+    is opened, and when `open_bins` are open already, the fullest closes first. A full bin is closed at once.
     """
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bits = n_open = n_bins = 0
@@ -145,43 +150,34 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
             stacks[free].append(here)
             bits |= 1 << free
             n_open += 1
-    return bins, offsets, {b for stack in stacks for b in stack}
+    return bins, offsets
+
 
+def packed(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
+    """`pieces` of token_pieces() plus sequence_id and offset, in few sequences of at most `capacity` ids.
 
-def _pack(pieces: DataFrame, first_id: int, capacity: int, open_bins: int, falling: bool) -> DataFrame:
+    Pieces are dealt by hash to lots of about `task_pieces`, whatever their number, so a task's memory is bounded;
+    each lot is packed online in hash order, with `open_bins` open, and that is all: about 1 % more sequences than
+    the ids need. Lots and orders depend on ids and contents alone, so a task that runs again after a loss gives the
+    same rows. Repeated rows are pieces of their own; the order of equal ones is free, as they are alike. A null
+    doc_id is an id like another. No rows give none.
+    """
+    pieces = settle(pieces.withColumn("mark", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
+    lots = max(1, -(-pieces.count() // task_pieces))
     kind = dict(pieces.dtypes)["doc_id"]
 
     def run(group: pa.Table) -> pa.Table:
-        order = [("length", "descending")] * falling + [("mark", "ascending"), ("piece", "ascending")]
-        group = group.sort_by(order)
-        bins, offsets, left = best_fit(group.column("length").to_pylist(), capacity, open_bins)
-        base = first_id + (group.column("lot")[0].as_py() << 32)
+        group = group.sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = best_fit(group.column("length").to_pylist(), capacity, open_bins)
+        base = group.column("lot")[0].as_py() << 32
         return pa.table({
-            **{c: group.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "mark")},
+            **{c: group.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
             "sequence_id": pa.array([base + b for b in bins], pa.int64()),
             "offset": pa.array(offsets, pa.int64()),
-            "open": pa.array([b in left for b in bins], pa.bool_()),
         })
 
-    schema = PIECES.format(kind=kind) + ", mark long, sequence_id long, offset long, open boolean"
-    return pieces.groupBy("lot").applyInArrow(run, schema)
-
-
-def packed(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
-    """`pieces` of token_pieces() plus sequence_id and offset, in few sequences of at most `capacity` ids.
-
-    Pieces are dealt by hash to lots of about `task_pieces`, whatever their number, so a task's memory is bounded;
-    each lot is packed online in hash order, with `open_bins` open. Pieces in bins that are still open at the end
-    of a lot are few; they are packed once more, longest first. Lots and orders depend on ids and contents alone, so
-    a task that runs again after a loss gives the same rows. Repeated rows are pieces of their own. No rows give none.
-    """
-    pieces = settle(pieces.withColumn("mark", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
-    lots = max(1, -(-pieces.count() // task_pieces))
-    first = settle(_pack(pieces.withColumn("lot", F.pmod(F.xxhash64("mark"), F.lit(lots))), 0, capacity, open_bins, False), "lots")
-    rest = first.where("open").select(*pieces.columns)
-    lots = max(1, -(-rest.count() // task_pieces))
-    again = _pack(rest.withColumn("lot", F.pmod(F.xxhash64("mark", F.lit(7)), F.lit(lots))), 1 << 60, capacity, task_pieces, True)
-    return first.where("not open").unionByName(again).drop("mark", "open")
+    schema = PIECES.format(kind=kind) + ", sequence_id long, offset long"
+    return pieces.withColumn("lot", F.pmod(F.xxhash64("mark"), F.lit(lots))).groupBy("lot").applyInArrow(run, schema)
 
 
 def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

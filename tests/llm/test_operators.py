@@ -112,15 +112,46 @@ def test_packing(docs):
 
 
 def test_special_and_odd_texts_have_the_tokenizers_ids():
-    ids = packing.Ids(packing.default_tokenizer())
-    for t in ["a<|endoftext|>b", "héllo wörld  x y", "日本語 text", "don't 1 2½ \x1c z", "  lead\n\n trail  ", "ſt ß", "﻿a"]:
-        assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
-
+    from tokenizers import Tokenizer
 
-def test_best_fit_closes_the_fullest():
-    bins, offsets, left = packing.best_fit([6, 5, 7, 3, 4], 10, 2)
-    assert bins == [0, 1, 2, 2, 0] or bins[2] == 2 and len(left) <= 2
-    assert packing.best_fit([10, 4, 6], 10, 4) == ([0, 1, 1], [0, 0, 4], set())
+    ids, tk = packing.Ids(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    parts = ["a", "b1", "'s", " ", "\n", "\t", "\r", "é", "–", ".", " x", "<|", "\xa0", "ж", "\u3000", "漢", "٣", "\x1c", "\x85", "\u200b", "😀", "\x00", "<|endoftext|>", "½"]
+    rng = np.random.default_rng(2)
+    odd = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 10, 3000)]
+    for t in [*odd, "héllo wörld  x y", "日本語 text", "don't 1 2½ \x1c z", "  lead\n\n trail  ", "ſt ß", "﻿a", "ab " * 4000]:
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
+
+
+def plain_best_fit(lengths, capacity, most):
+    """Open bins as a list; the least free space that holds the piece, the one used last of equals; the fullest closes."""
+    open_, at, out, n = [], [], [], 0
+    for length in lengths:
+        fits = [b for b in open_ if b[1] >= length]
+        if fits:
+            least = min(b[1] for b in fits)
+            here = [b for b in fits if b[1] == least][-1]
+            open_.remove(here)
+        else:
+            if len(open_) >= most:
+                least = min(b[1] for b in open_)
+                open_.remove([b for b in open_ if b[1] == least][-1])
+            here, n = [n, capacity], n + 1
+        out.append(here[0])
+        at.append(capacity - here[1])
+        here = [here[0], here[1] - length]
+        if here[1]:
+            open_.append(here)
+    return out, at
+
+
+def test_best_fit_is_the_plain_bounded_best_fit():
+    assert packing.best_fit([6, 5, 7, 3, 4], 10, 2) == ([0, 1, 2, 2, 1], [0, 0, 0, 7, 5])
+    rng = np.random.default_rng(3)
+    for bound in (1, 2, 8, 64):
+        lengths = rng.integers(1, 101, 600).tolist()
+        assert packing.best_fit(lengths, 100, bound) == plain_best_fit(lengths, 100, bound)
+    lengths = rng.lognormal(6, 1, 4000).astype(int).clip(1, 1024).tolist()
+    assert packing.best_fit(lengths, 1024, packing.OPEN_BINS) != packing.best_fit(lengths, 1024, 10**6)  # the bound binds
 
 
 def test_suffix_dedup(docs):
