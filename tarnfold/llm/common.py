@@ -36,18 +36,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, clean: bool = True) -> DataFrame:
     """Write `df` to the shared folder and read it again: the lineage ends there, and losing an executor costs nothing.
 
-    Afterwards the JVM is asked to collect garbage, so that shuffle files that only the written plan needed go.
+    With `clean` the JVM is asked to collect garbage afterwards, so that shuffle files that only the written plan
+    needed go; steps that shuffle little do without.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if clean:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -108,14 +110,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     spark = edges.sparkSession
     edges = edges.where("a is not null and b is not null")
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name, clean=False)
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name, clean=False)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = settle(step, name)
+        step = settle(step, name, clean=False)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = settle(step.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), name)
+        new = settle(step.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), name, clean=False)
         changed = new.where("label < old").limit(1).count()
         forget(spark, labels, step)
         labels = new

@@ -22,8 +22,9 @@ BITS, CELLS = 23, 1 << 16
 SPREAD = 16
 #: Groups up to this size are compared whole in one round; larger ones by a growing number of hubs.
 SMALL = 6
-#: Bytes of the bitmaps that groups are compared by, members of a block on the average, and pairs looked at at once.
-BRIEF, BLOCK, AT_ONCE = 256, 64, 1 << 18
+#: Bytes of the bitmaps that groups are compared by, members of a block on the average, pairs looked at at once, and
+#: signatures that a set brings to a meeting so that a pair is reported in the first of the groups that it shares.
+BRIEF, BLOCK, AT_ONCE, FIRST = 256, 64, 1 << 18, 32
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -32,20 +33,21 @@ def linked(inter: int, a: int, b: int) -> bool:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """One pass over all texts: rows (doc_id, n, node, bitmap, brief), and the sketch's rows (block, part, counts), doc_id null.
+    """One pass over all texts: rows (doc_id, n, node, more, bitmap, brief), and the sketch's rows (block, part, counts).
 
-    `node` is the fingerprint of the shingle set, null if it is empty; `brief` is the bitmap folded to BRIEF bytes. The sketch counts, over all sets that a task
-    meets, the shingles in each cell; a task emits it once, in blocks.
+    `node` and `more` are the fingerprint of the shingle set, null if it is empty; `brief` is the bitmap folded to
+    BRIEF bytes. The sketch counts, over all sets that a task meets, the shingles in each cell; a task emits it once,
+    in blocks, with a null doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts, seen = np.zeros(1 << BITS, np.uint32), set()
-        names = ["doc_id", "n", "node", "bitmap", "brief", "block", "part", "counts"]
+        names = ["doc_id", "n", "node", "more", "bitmap", "brief", "block", "part", "counts"]
 
         def rows(ids: pa.Array, n: list, node: list, bits: list, block: list, part: list, blobs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array([b and folded(b, BRIEF).tobytes() for b in bits], pa.binary()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array([x and x[i] for x in node], pa.int64()) for i in (0, 1)), pa.array(bits, pa.binary()), pa.array([b and folded(b, BRIEF).tobytes() for b in bits], pa.binary()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), WORDS)
@@ -62,7 +64,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             blobs = [zlib.compress(counts[b * CELLS : (b + 1) * CELLS].tobytes(), 1) for b in blocks]
             yield rows(pa.array(none, pa.int64()), none, none, none, list(blocks), [TaskContext.get().partitionId()] * len(blocks), blobs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bitmap binary, brief binary, block int, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, more long, bitmap binary, brief binary, block int, part int, counts binary")
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
@@ -128,10 +130,13 @@ def signatures(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, classes) -> DataFrame:
-    """(sig, node) of every set of more than one shingle; a task emits a set once, so copies cost next to nothing."""
+    """(sig, node) of every set of more than one shingle; a task emits a set once, so copies cost next to nothing.
+
+    The first half of the fingerprint will do here: a set that shares it with another is in the other's groups too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in small_batches(batches):
             sigs, nodes = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), WORDS):
@@ -139,7 +144,7 @@ def index_rows(docs: DataFrame, classes) -> DataFrame:
                     continue
                 seen.add(node)
                 sigs.append(signatures(s, classes.value))
-                nodes.append(np.full(len(sigs[-1]), node, np.int64))
+                nodes.append(np.full(len(sigs[-1]), node[0], np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
@@ -147,15 +152,23 @@ def index_rows(docs: DataFrame, classes) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
-    """Rows (sig, rep, label, n, brief) as arrays `name`, of about BLOCK rows each whatever the group's size, by (sig, chunk)."""
+    """Rows (sig, rep, label, n, brief, sigs) as arrays `name`, of about BLOCK rows each whatever the group's size, by (sig, chunk)."""
     chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.expr(size) / BLOCK).cast("long"))
-    return rows.withColumn("chunk", chunk).groupBy("sig", "chunk").agg(F.collect_list(F.struct("rep", "label", "n", "brief")).alias(name)).drop("chunk")
+    return rows.withColumn("chunk", chunk).groupBy("sig", "chunk").agg(F.collect_list(F.struct("rep", "label", "n", "brief", "sigs")).alias(name)).drop("chunk")
+
+
+def _first_sigs(rows: DataFrame) -> DataFrame:
+    """(rep, sigs): the least FIRST signatures of each set of rows (sig, rep), in order."""
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("sig"))
+    few = rows.select("rep", "sig", nth.alias("nth")).where(F.col("nth") <= FIRST)
+    return few.groupBy("rep").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
 
 
 def _entries(column: pa.Array) -> tuple:
-    """Of a column of blocks: where each begins, its length, and ids, labels, sizes, bitmap lengths and bitmaps of all members.
+    """Of a column of blocks: where each begins, its length, and ids, labels, sizes, bitmap lengths, bitmaps and signatures of all members.
 
-    The bitmaps are matrices by length, in which a longer bitmap stands folded to half its length.
+    The bitmaps are matrices by length, in which a longer bitmap stands folded to half its length. Signatures are a
+    matrix whose rows end in the largest number.
     """
     flat, lengths = column.flatten(), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     rep, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -168,13 +181,26 @@ def _entries(column: pa.Array) -> tuple:
         for part, of in ((rows, size), (rows[:, : size // 2] ^ rows[:, size // 2 :], size // 2)):
             if of >= 8:
                 tables.setdefault(of, np.zeros((len(bits), of // 8), np.uint64))[at] = np.ascontiguousarray(part).view(np.uint64)
-    return np.cumsum(lengths) - lengths, lengths, rep, label, n, wide, tables
+    lists = flat.field(4)
+    count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    sigs = np.full((len(bits), FIRST), np.iinfo(np.int64).max)
+    sigs[np.arange(FIRST) < count[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return np.cumsum(lengths) - lengths, lengths, rep, label, n, wide, tables, sigs
 
 
-def _close_pairs(many: pa.Array, hubs: pa.Array) -> np.ndarray:
-    """Of each row, the pairs (a, b) of a member and a hub with different labels whose sizes and bitmaps let them link."""
-    start, p, rep, label, n, wide, bits = _entries(many)
-    first, q, hub, other, m, broad, marks = _entries(hubs)
+def _sooner(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Of pairs of rows of signatures, whether both lists have one smaller than `sig`: the pair meets there."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < sig[:, None])).any(axis=1)
+
+
+def _close_pairs(sig: np.ndarray, many: pa.Array, hubs: pa.Array) -> np.ndarray:
+    """Of each row, the pairs (a, b) of a member and a hub with different labels whose sizes and bitmaps let them link.
+
+    A pair that meets in a group of a smaller signature as well is left to that one.
+    """
+    start, p, rep, label, n, wide, bits, lists = _entries(many)
+    first, q, hub, other, m, broad, marks, turns = _entries(hubs)
     work, found, lo = np.cumsum(p * q), [np.zeros((0, 2), np.int64)], 0
     while lo < len(p):
         done = work[lo - 1] if lo else 0
@@ -183,14 +209,16 @@ def _close_pairs(many: pa.Array, hubs: pa.Array) -> np.ndarray:
         within = np.arange(len(row)) - (work[row] - (p * q)[row] - done)
         i, j = start[row] + within // q[row], first[row] + within % q[row]
         keep = (label[i] != other[j]) & (4 * np.minimum(n[i], m[j]) >= 3 * np.maximum(n[i], m[j]))
-        i, j = i[keep], j[keep]
+        i, j, row = i[keep], j[keep], row[keep]
         least = np.minimum(wide[i], broad[j])
         for size in np.unique(least).tolist():
             at = np.flatnonzero(least == size)
             x, y = i[at], j[at]
             differ = np.bitwise_count(bits[size][x] ^ marks[size][y]).sum(axis=1, dtype=np.int64)
             near = 7 * ((n[x] + m[y] - differ) // 2) >= 3 * (n[x] + m[y])
-            x, y = rep[x[near]], hub[y[near]]
+            x, y, s = x[near], y[near], sig[row[at[near]]]
+            new = ~_sooner(lists[x], turns[y], s)
+            x, y = rep[x[new]], hub[y[new]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         lo = hi
     return np.unique(np.concatenate(found), axis=0)
@@ -199,17 +227,19 @@ def _close_pairs(many: pa.Array, hubs: pa.Array) -> np.ndarray:
 def _meetings(open_: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a set of `open_` (sig, rep, n, label, size) and one of `hubs` (sig, rep, turns) of its group that may link.
 
-    Both sides meet block by block, and pairs that sizes or bitmaps rule out are never made into rows.
+    Both sides meet block by block. Pairs that sizes or bitmaps rule out, and those that meet elsewhere too, are never
+    made into rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            pairs = _close_pairs(batch.column("many"), batch.column("hubs"))
+            pairs = _close_pairs(batch.column("sig").to_numpy(), batch.column("many"), batch.column("hubs"))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    met = open_.join(hubs.select("sig").distinct(), "sig", "left_semi").join(nodes.select("rep", "brief"), "rep")
-    turns = hubs.join(nodes.select("rep", "brief"), "rep")
-    return _blocks(met, "size", "many").join(_blocks(turns, "turns", "hubs"), "sig").select("many", "hubs").mapInArrow(run, "a long, b long")
+    met = open_.join(hubs.select("sig").distinct(), "sig", "left_semi")
+    met = met.join(nodes.select("rep", "brief"), "rep").join(_first_sigs(met), "rep")
+    turns = hubs.join(nodes.select("rep", "brief"), "rep").join(_first_sigs(hubs), "rep")
+    return _blocks(met, "size", "many").join(_blocks(turns, "turns", "hubs"), "sig").select("sig", "many", "hubs").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -247,8 +277,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     several components, its sets outside the largest are hubs in turn, all at once in small groups, eight times as
     many each round in large ones, each in eight times as many of its groups as the round before, and are compared
     with the sets in other components, until no group has a pair that is neither compared nor joined. Members and
-    hubs of a group meet in blocks of bounded size, and only pairs that may link become rows. So no link between components is lost, and a group of n similar copies costs
-    about n comparisons. Comparison bounds the overlap by sizes and bitmaps and then intersects the whole sets.
+    hubs of a group meet in blocks of bounded size, and only pairs that may link become rows, in the first group that
+    they share. So no link between components is lost, and a group of n similar copies costs about n comparisons.
+    Comparison bounds the overlap by sizes and bitmaps and then intersects the whole sets. A very long text is one set
+    like another; its signatures are about a quarter of its words.
 
     Null or empty texts, and texts without a word, have 0 shingles and are components of their own. Rows of one
     doc_id that have several texts are linked by each. A null doc_id has a null component unless its text is linked.
@@ -257,47 +289,55 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     pass_one = settle(profiles(docs), "profiles")
     classes = spark.sparkContext.broadcast(frequency_classes(pass_one.where("block is not null").select("block", "part", "counts")))
-    rows = pass_one.where("block is null").select("doc_id", "n", "node", "bitmap", "brief")
+    rows = pass_one.where("block is null").select("doc_id", "n", "node", "more", "bitmap", "brief")
     best = F.min(F.struct("doc_id", "n", "bitmap", "brief"))
-    nodes = settle(rows.where("node is not null and doc_id is not null").groupBy("node").agg(best.alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.bitmap", "x.brief"), "nodes")
+    nodes = rows.where("node is not null and doc_id is not null").groupBy("node", "more").agg(best.alias("x"))
+    nodes = settle(nodes.select("node", "more", F.col("x.doc_id").alias("rep"), "x.n", "x.bitmap", "x.brief"), "nodes")
     index = index_rows(docs, classes)
     groups = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
     members = index.join(groups, "sig").join(nodes.select("node", "rep"), "node").select("sig", "rep").distinct()
-    members = settle(members, "members")
-    prints = members.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print"), F.min("rep").alias("hub"))
+    all_members = settle(members, "members")
+    prints = all_members.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print"), F.min("rep").alias("hub"))
     groups = settle(prints.where("size > 1").groupBy("size", "print", "hub").agg(F.min("sig").alias("sig")), "groups")
     sizes = nodes.select("rep", "n")
-    members = settle(members.join(groups.select("sig", "hub"), "sig").join(sizes, "rep"), "members")
+    members = settle(all_members.join(groups.select("sig", "hub"), "sig").join(sizes, "rep"), "members")
+    forget(spark, all_members, groups)
     wanted = members.select("rep").distinct()
     # A doc_id with several texts: the text whose set stands for the id can't be told here; all are compared.
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
     texts = settle(texts.distinct(), "texts")
     near = "4 * least(n, m) >= 3 * greatest(n, m)"
     first = members.join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("m")), "hub").where(f"hub < rep and {near}")
-    links = _verify(first.groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")), nodes, texts)
-    several = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
-    same = rows.join(several, "doc_id", "left_semi").join(nodes.select("node", "rep"), "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = settle(links.unionByName(same), "links")
-    members, hubs = members.select("sig", "rep", "n"), 8
+    found = _verify(first.groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")), nodes, texts)
+    several = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.countDistinct("node", "more").alias("k")).where("k > 1").select("doc_id")
+    same = rows.join(several, "doc_id", "left_semi").join(nodes.select("node", "more", "rep"), ["node", "more"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = settle(found.unionByName(same), "links", clean=False)
+    done, left, hubs = [found, members], members.select("sig", "rep", "n"), 8
     while True:
         label = components(links)
-        member = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        member = left.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("label"))
         counts = member.groupBy("sig", "label").agg(F.count("*").alias("k"))
         broken = counts.groupBy("sig").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
         open_ = settle(member.join(broken.select("sig", "size", F.col("most.label").alias("largest")), "sig"), "open")
-        if not open_.limit(1).count():
+        forget(spark, *done)
+        if open_.isEmpty():
             break
-        turn = F.row_number().over(Window.partitionBy("sig").orderBy("rep"))
-        some = open_.where("label <> largest").withColumn("turn", turn).where((F.col("size") <= SMALL) | (F.col("turn") <= hubs))
+        # About `hubs` sets of a group, by a hash that changes from round to round; all of a small one.
+        turn = F.pmod(F.xxhash64("rep", "sig", F.lit(hubs)), F.col("size"))
+        some = open_.where("label <> largest").where((F.col("size") <= SMALL) | (turn < hubs))
         # A set takes part in a few groups a round: once it is linked, its other groups need no comparison.
-        some = some.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("size"), "sig"))).where(F.col("nth") <= hubs)
+        some = some.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("sig"))).where(F.col("nth") <= hubs)
         turns = F.least("size", F.lit(hubs))
-        some = settle(some.select("sig", "rep", "n", "label", turns.alias("turns")), "hubs")
-        links = settle(links.unionByName(_verify(_meetings(open_, some, nodes), nodes, texts)), "links")
-        members = open_.select("sig", "rep", "n").join(some.select("sig", "rep"), ["sig", "rep"], "left_anti")
+        some = settle(some.select("sig", "rep", "n", "label", turns.alias("turns")), "hubs", clean=False)
+        found = _verify(_meetings(open_, some, nodes), nodes, texts)
+        more = settle(links.unionByName(found), "links", clean=False)
+        forget(spark, links, found, label)
+        left = open_.select("sig", "rep", "n").join(some.select("sig", "rep"), ["sig", "rep"], "left_anti")
+        links, done = more, [open_, some]
         hubs *= 8
-    found = nodes.select("node", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("found"))
-    return rows.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
+    forget(spark, texts, links, open_)
+    found = nodes.select("node", "more", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "more", F.coalesce("component", "rep").alias("found"))
+    return rows.select("doc_id", "n", "node", "more").join(found, ["node", "more"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,11 +90,12 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def set_id(h: np.ndarray) -> int:
-    """A signed 64-bit fingerprint of a set of hashes, whatever their order."""
+def set_id(h: np.ndarray) -> tuple[int, int]:
+    """A fingerprint of a set of hashes, whatever their order, as two signed 64-bit numbers."""
     with np.errstate(over="ignore"):
-        total = mix64(h + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64, keepdims=True)
-        return int(mix64(total + np.uint64(len(h)))[0].astype(np.int64))
+        sums = [mix64(h ^ np.uint64(x)).sum(dtype=np.uint64) for x in (0x632BE59BD9B4E019, 0x1B56C4E9D3C2A7F5)]
+        one, two = mix64(np.array(sums, np.uint64) + np.uint64(len(h))).view(np.int64).tolist()
+    return one, two
 
 
 def parity_bits(h: np.ndarray) -> bytes:
