@@ -22,6 +22,8 @@ BITS, CELLS = 23, 1 << 16
 SPREAD = 16
 #: Groups up to this size are compared whole in one round; larger ones by a growing number of hubs.
 SMALL = 6
+#: Hubs of a group in the first round, and how many times as many each round has.
+HUBS, GROWTH = 8, 32
 #: Bytes of the bitmaps that groups are compared by, members of a block on the average, pairs looked at at once, and
 #: signatures that a set brings to a meeting so that a pair is reported in the first of the groups that it shares.
 BRIEF, BLOCK, AT_ONCE, FIRST = 256, 64, 1 << 18, 32
@@ -274,8 +276,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Sets are equal for copies, so all work after the first pass is on distinct sets, each standing for the smallest
     doc_id that has it. Signatures that several sets share form groups; groups with the same members are one. Each
     set is compared with the smallest one of all its groups; links join components. While a group's sets are in
-    several components, its sets outside the largest are hubs in turn, all at once in small groups, eight times as
-    many each round in large ones, each in eight times as many of its groups as the round before, and are compared
+    several components, its sets outside the largest are hubs in turn, all at once in small groups, GROWTH times as
+    many each round in large ones, each in as many times more of its groups, and are compared
     with the sets in other components, until no group has a pair that is neither compared nor joined. Members and
     hubs of a group meet in blocks of bounded size, and only pairs that may link become rows, in the first group that
     they share. So no link between components is lost, and a group of n similar copies costs about n comparisons.
@@ -293,7 +295,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     best = F.min(F.struct("doc_id", "n", "bitmap", "brief"))
     nodes = rows.where("node is not null and doc_id is not null").groupBy("node", "more").agg(best.alias("x"))
     nodes = settle(nodes.select("node", "more", F.col("x.doc_id").alias("rep"), "x.n", "x.bitmap", "x.brief"), "nodes")
-    index = index_rows(docs, classes)
+    index = index_rows(docs, classes).repartition("sig")  # both uses read the one exchange
     groups = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
     members = index.join(groups, "sig").join(nodes.select("node", "rep"), "node").select("sig", "rep").distinct()
     all_members = settle(members, "members")
@@ -312,7 +314,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     several = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.countDistinct("node", "more").alias("k")).where("k > 1").select("doc_id")
     same = rows.join(several, "doc_id", "left_semi").join(nodes.select("node", "more", "rep"), ["node", "more"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = settle(found.unionByName(same), "links", clean=False)
-    done, left, hubs = [found, members], members.select("sig", "rep", "n"), 8
+    done, left, hubs = [found, members], members.select("sig", "rep", "n"), HUBS
     while True:
         label = components(links)
         member = left.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("label"))
@@ -334,7 +336,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         forget(spark, links, found, label)
         left = open_.select("sig", "rep", "n").join(some.select("sig", "rep"), ["sig", "rep"], "left_anti")
         links, done = more, [open_, some]
-        hubs *= 8
+        hubs *= GROWTH
     forget(spark, texts, links, open_)
     found = nodes.select("node", "more", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "more", F.coalesce("component", "rep").alias("found"))
     return rows.select("doc_id", "n", "node", "more").join(found, ["node", "more"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
