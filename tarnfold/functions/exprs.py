@@ -38,6 +38,26 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def canonical(c: Column, kind: str) -> Column:
+    """V1, G1: a business value as text in one form: trimmed, blank is null, 1.0 is 1, lists are sets in order, times ISO."""
+    if kind == "string":
+        return F.nullif(trim_u(c), F.lit(""))
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        whole = c.cast("double") == F.floor(c.cast("double"))
+        short = c.cast("string") if kind in ("float", "double") else F.regexp_replace(c.cast("string"), r"\.?0+$", "")
+        text = F.when(F.isnan(c.cast("double")), None).when(whole & (F.abs(c.cast("double")) < 1e15), c.cast("long").cast("string"))
+        return text.otherwise(short)
+    if kind.startswith("array<"):
+        inner = kind[6:-1]
+        items = F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: canonical(x, inner)), lambda x: x.isNotNull())))
+        return F.to_json(items)
+    if kind.startswith("timestamp"):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind == "date" else F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    if kind.startswith("map<"):
+        return F.to_json(F.array_sort(F.map_entries(c)))
+    return c.cast("string")
+
+
 def signature(*cols: Column) -> Column:
     """A content hash in which null differs from every text."""
     parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in cols]

@@ -16,15 +16,15 @@ def membership(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def membership_sets(members: DataFrame, entity: str, group: str, item: str) -> DataFrame:
-    """Sorted sets, distinct counts, hits and stable JSON counts per entity, from the relation."""
-    by_group = members.groupBy(entity, group).agg(F.sum("hits").alias("n"))
-    groups = by_group.groupBy(entity).agg(count_map(F.collect_list(F.struct(group, "n"))).alias("group_counts"))
-    sets = members.groupBy(entity).agg(
-        F.array_join(F.array_sort(F.collect_set(group)), "|").alias("groups"),
-        F.array_join(F.array_sort(F.collect_set(item)), "|").alias("items"),
-        F.countDistinct(group).alias("n_groups"), F.countDistinct(item).alias("n_items"), F.sum("hits").alias("hits"),
+    """Sorted sets, distinct counts, hits and stable JSON counts per entity, in one aggregation of the relation."""
+    rows = members.groupBy(entity).agg(F.collect_list(F.struct(group, item, "hits")).alias("_m"))
+    rows = rows.withColumns({"_g": F.array_sort(F.array_distinct(F.col(f"_m.{group}"))), "_i": F.array_sort(F.array_distinct(F.col(f"_m.{item}")))})
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, m: s + m["hits"])
+    pairs = F.transform("_g", lambda g: F.struct(g.alias(group), total(F.filter("_m", lambda m: m[group] == g)).alias("n")))
+    return rows.select(
+        entity, F.array_join("_g", "|").alias("groups"), F.array_join("_i", "|").alias("items"), F.size("_g").cast("long").alias("n_groups"),
+        F.size("_i").cast("long").alias("n_items"), total(F.col("_m")).alias("hits"), count_map(pairs).alias("group_counts"),
     )
-    return sets.join(groups, entity)
 
 
 def conflict_summary(rows: DataFrame, entity: str, fields: list[str], key_fields: list[str]) -> DataFrame:
@@ -66,7 +66,7 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def union_of_lists(rows: DataFrame, entity: str, lists: str) -> DataFrame:
     """The sorted distinct union of an entity's list cells."""
-    return rows.groupBy(entity).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))).alias(lists))
+    return rows.select(entity, F.explode_outer(lists).alias("_x")).groupBy(entity).agg(F.array_sort(F.collect_set("_x")).alias(lists))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

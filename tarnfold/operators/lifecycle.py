@@ -52,10 +52,15 @@ def episodes(assigned: DataFrame, entity: str, number: str, start: str, end: str
     return out.withColumn("days", (F.datediff("episode_end", "episode_start") + 1).cast("long"))
 
 
-def daily_panel(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """A row a day and interval, both ends included; reversed intervals have none."""
+def daily_panel(intervals: DataFrame, keys: list[str], start: str, end: str, most_rows: int | None = 20_000_000) -> DataFrame:
+    """A row a day and interval, both ends included; reversed intervals have none. More than `most_rows` is an error."""
     days = F.sequence(F.to_date(start), F.to_date(end), F.expr("interval 1 day"))
-    return intervals.where(F.to_date(end) >= F.to_date(start)).select(*keys, F.explode(days).alias("day"))
+    rows = intervals.where(F.to_date(end) >= F.to_date(start))
+    if most_rows is not None:
+        total = rows.agg(F.sum(F.datediff(end, start) + 1)).first()[0] or 0
+        if total > most_rows:
+            raise ValueError(f"the panel would have {total} rows, more than {most_rows}")
+    return rows.select(*keys, F.explode(days).alias("day"))
 
 
 def active_series(intervals: DataFrame, start: str, end: str, cap: bool = False) -> DataFrame:
@@ -73,6 +78,22 @@ def active_series(intervals: DataFrame, start: str, end: str, cap: bool = False)
     return out.withColumn("active", F.sum(F.col("new") - F.col("ended")).over(w))
 
 
+def merged_intervals(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
+    """An entity's intervals of days, those that overlap or touch made one: (entity, s, e)."""
+    rows = intervals.select(entity, F.to_date(start).alias("s"), F.to_date(end).alias("e")).where("e >= s")
+    w = Window.partitionBy(entity).orderBy("s", "e")
+    rows = rows.withColumn("_to", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_no", F.count_if(F.col("_to").isNull() | (F.col("s") > F.date_add("_to", 1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(entity, "_no").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_no")
+
+
+def daily_actives(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
+    """Per day with any the intervals and the distinct entities that are active, by two sweeps, without a panel."""
+    rows = active_series(intervals, start, end).select("day", F.col("active").alias("rows"))
+    one = active_series(merged_intervals(intervals, entity, start, end), "s", "e").select("day", F.col("active").alias("entities"))
+    return rows.join(one, "day").where("rows > 0")
+
+
 def rolling(rows: DataFrame, value: str, order: str, before: int, after: int, kind: str, name: str) -> DataFrame:
     """Rolling mean or median over rows of a daily series."""
     w = Window.orderBy(order).rowsBetween(-before, after)

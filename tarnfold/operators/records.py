@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 from tarnfold.functions.exprs import safe_ratio, trim_u
 
 #: Query parameters that only track where a visit came from.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "pcm", "from", "spm", "ref", "source", "channel")
+TRACKING = ("pcm", "from", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "ref", "referer", "share_token")
 
 
 def normalize_url(c: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
     """Lower-case scheme and host, https by default, no tracking parameters, no fragment; empty for nothing."""
-    u = F.regexp_replace(trim_u(F.coalesce(c, F.lit(""))), "#.*$", "")
-    u = F.when(u.rlike("^//"), F.concat(F.lit("https:"), u)).when(u.rlike("(?i)^[a-z][a-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("https://"), u))
-    scheme, host = F.lower(F.regexp_extract(u, "^([^:]+)://", 1)), F.lower(F.regexp_extract(u, "^[^:]+://([^/?]*)", 1))
-    path, query = F.regexp_extract(u, r"^[^:]+://[^/?]*([^?]*)", 1), F.regexp_extract(u, r"\?(.*)$", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.lower(F.split(x, "=")[0]).isin(*tracking)), "&")
-    out = F.concat(scheme, F.lit("://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
-    return F.when(trim_u(F.coalesce(c, F.lit(""))) == "", "").otherwise(out)
+
+    def parts(u: Column) -> Column:
+        scheme = F.lower(F.coalesce(F.nullif(F.regexp_extract(u, "(?i)^([a-z][a-z0-9+.-]*):", 1), F.lit("")), F.lit("https")))
+        host = F.lower(F.regexp_extract(u, "(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?]*)", 1))
+        path = F.regexp_extract(u, "(?i)^(?:[a-z][a-z0-9+.-]*:)?(?://[^/?]*)?([^?]*)", 1)
+        return F.struct(scheme.alias("scheme"), host.alias("host"), path.alias("path"), F.regexp_extract(u, r"\?(.*)$", 1).alias("query"))
+
+    def joined(p: Column) -> Column:
+        kept = F.array_join(F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*tracking)), "&")
+        return F.concat(p["scheme"], F.lit(":"), F.when(p["host"] != "", F.concat(F.lit("//"), p["host"])).otherwise(""), p["path"], F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+
+    # Each step is bound to a variable, so that no pattern runs twice a row.
+    trimmed = F.array(F.regexp_replace(trim_u(F.coalesce(c, F.lit(""))), "#.*$", ""))
+    out = F.transform(F.transform(trimmed, lambda u: F.when(u != "", parts(u))), lambda p: F.coalesce(joined(p), F.lit("")))
+    return F.element_at(out, 1)
 
 
 def last_segment(url: Column) -> Column:
@@ -47,15 +55,21 @@ def mapping_audit(rows: DataFrame, left: str, right: str) -> DataFrame:
     return a.crossJoin(b)
 
 
-def parse_pay(c: Column, unit: str = "/天", open_: str = "薪资面议") -> dict[str, Column]:
-    """Low, high, middle, span, status, open flag and anomalies of a pay text such as 150-300/天."""
+def parse_pay(c: Column, units: tuple[str, ...] = ("/天", "/日"), open_: tuple[str, ...] = ("面议", "薪资面议")) -> dict[str, Column]:
+    """Low, high, middle, span, status, open flag and anomalies of a pay text such as 150-300/天.
+
+    A text with one of the words `open_` is open; else its first two numbers count if it has one of the units.
+    """
     t = trim_u(F.coalesce(c, F.lit("")))
-    ok = t.rlike(rf"^\s*\d+(?:\.\d+)?(?:\s*-\s*\d+(?:\.\d+)?)?\s*{unit}\s*$")
-    n = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)"), 1)
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+    body = reduce(lambda x, u: F.replace(x, F.lit(u), F.lit("")), units, t)
+    n = F.regexp_extract_all(body, F.lit(r"(\d+(?:\.\d+)?)"), 1)
+    negotiable = has(open_)
+    ok = ~negotiable & has(units) & (F.size(n) > 0)
     low = F.when(ok, F.get(n, F.lit(0)).try_cast("double"))
     high = F.when(ok, F.coalesce(F.get(n, F.lit(1)), F.get(n, F.lit(0))).try_cast("double"))
     odd = F.concat_ws("；", F.when(low > high, "上下限倒置"), F.when(low <= 0, "下限非正数"), F.when(high <= 0, "上限非正数"))
-    return {"low": low, "high": high, "mid": (low + high) / 2, "span": high - low, "status": F.when(ok, "已解析").when(t == open_, "面议").otherwise("解析失败"), "negotiable": (t == open_).cast("int"), "anomaly": odd}
+    return {"low": low, "high": high, "mid": (low + high) / 2, "span": high - low, "status": F.when(ok, "已解析").when(negotiable, "面议").otherwise("解析失败"), "negotiable": negotiable.cast("int"), "anomaly": odd}
 
 
 def shape(c: Column) -> Column:
@@ -128,15 +142,16 @@ def resolve_names(rows: DataFrame, name: str, place: str, profile: str, aliases:
     profile: HIGH_CONFIDENCE_MATCH. Else EXACT_NORMALIZED_NAME, which with the alias is the only formal method.
     """
     rows = rows.withColumn("norm", normalize_name(F.coalesce(F.col(name), F.lit(""))))
-    places = rows.groupBy("norm").agg(F.countDistinct(place).alias("places"))
+    filled = F.when(trim_u(F.col(place).cast("string")) != "", F.col(place))
+    places = rows.groupBy("norm").agg(F.countDistinct(filled).alias("places"))
     shared = rows.where("norm <> ''").withColumn("print", fingerprint(F.col(profile))).where("print is not null").groupBy("print").agg(F.countDistinct("norm").alias("k")).where("k > 1")
     sharing = rows.withColumn("print", fingerprint(F.col(profile))).join(shared, "print", "left_semi").select("norm").distinct().withColumn("shares", F.lit(True))
     out = rows.groupBy("norm", F.coalesce(F.col(place).cast("string"), F.lit("")).alias("place")).agg(F.count("*").alias("rows"))
     out = out.join(places, "norm").join(sharing, "norm", "left")
-    out = out.join(F.broadcast(aliases.select(F.col("alias").alias("norm"), "canonical")), "norm", "left") if aliases is not None else out.withColumn("canonical", F.lit(None).cast("string"))
+    out = out.join(aliases.select(normalize_name(F.col("alias")).alias("norm"), "canonical").dropDuplicates(["norm"]), "norm", "left") if aliases is not None else out.withColumn("canonical", F.lit(None).cast("string"))
     method = F.when(F.col("norm") == "", "UNRESOLVED").when(F.col("canonical").isNotNull(), "APPROVED_ALIAS").when(F.col("places") > 1, "MULTI_LOCATION_AMBIGUOUS").when(F.col("shares"), "HIGH_CONFIDENCE_MATCH").otherwise("EXACT_NORMALIZED_NAME")
     out = out.withColumn("method", method)
-    confidence = F.when(F.col("method") == "UNRESOLVED", 0.0).when(F.col("method") == "MULTI_LOCATION_AMBIGUOUS", 0.7).when(F.col("method") == "HIGH_CONFIDENCE_MATCH", 0.9).otherwise(1.0)
+    confidence = F.when(F.col("method") == "UNRESOLVED", 0.0).when(F.col("method") == "MULTI_LOCATION_AMBIGUOUS", 0.7).when(F.col("method") == "HIGH_CONFIDENCE_MATCH", 0.9).when(F.col("method") == "APPROVED_ALIAS", 0.95).otherwise(1.0)
     return out.select("norm", "place", "rows", F.coalesce("canonical", "norm").alias("entity"), "method", confidence.alias("confidence"), F.col("method").isin("APPROVED_ALIAS", "EXACT_NORMALIZED_NAME").cast("int").alias("formal"))
 
 
@@ -161,8 +176,15 @@ def crossed_snapshots(snapshots: DataFrame, entity: str, time: str) -> DataFrame
     return some.where("old_profile is not null and old_profile <> profile").select(entity, "old_time", F.col(time).alias("new_time"), "old_profile", F.col("profile").alias("new_profile"), (F.col("seen") - F.col("was")).alias("crossed"))
 
 
-def leaf_to_root(edges: DataFrame, child: str, parent: str, levels: int = 8) -> DataFrame:
-    """P10: the topmost ancestor of each child by a bounded chain of self-joins."""
+def leaf_to_root(edges: DataFrame, child: str, parent: str, levels: int = 8, most: int = 256) -> DataFrame:
+    """P10: the topmost ancestor of each child, by self-joins, `levels` at a time until none has a parent.
+
+    Chains of more than `most` levels, so also cycles, are an error.
+    """
     top = edges.select(F.col(child).alias("leaf"), F.col(parent).alias("top"))
     step = edges.select(F.col(child).alias("top"), F.col(parent).alias("further"))
-    return reduce(lambda t, _: t.join(step, "top", "left").select("leaf", F.coalesce("further", "top").alias("top")), range(levels), top)
+    for _ in range(0, most, levels):
+        top = reduce(lambda t, _: t.join(step, "top", "left").select("leaf", F.coalesce("further", "top").alias("top")), range(levels), top)
+        if top.join(step, "top", "left_semi").isEmpty():
+            return top
+    raise ValueError(f"{child} and {parent} have a chain of more than {most} levels or a cycle")

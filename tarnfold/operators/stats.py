@@ -1,4 +1,4 @@
-"""Rank statistics and tables (A1-A22). Global ranks run over distinct values with counts, never over raw rows."""
+"""Rank statistics and tables (A1-A22). Global ranks run over distinct values with counts, cut into ranges."""
 
 from __future__ import annotations
 
@@ -14,11 +14,35 @@ def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), *p, F.max(value).alias("max"))
 
 
+#: Ranges of values that a global order is cut into; each is a task's window.
+RANGES = 64
+
+
+def ranged(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+    """`rows` plus _range: which of about equal parts of all rows, in the order of a number or time, a row lies in."""
+    edges = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000).alias("_edges"))
+    return rows.crossJoin(F.broadcast(edges)).withColumn("_range", F.expr(f"size(filter(coalesce(_edges, array()), x -> x < {order}))")).drop("_edges")
+
+
+def running(rows: DataFrame, order: str, value: str, name: str, *within: str, ranges: int = RANGES) -> DataFrame:
+    """`rows` plus `name`: the sum of `value` over rows of the same `within` that come before in `order`, which is unique there.
+
+    A prefix sum in two levels: over ranges, of which there are few, and inside each. No task orders all rows.
+    """
+    cut = ranged(rows, order, ranges)
+    sums = cut.groupBy(*within, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in within], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within] + [F.col("_range") == F.col("_r")]
+    return cut.join(sums, same).withColumn(name, F.col("_start") + F.col("_inner")).select(*rows.columns, name)
+
+
 def value_ranks(rows: DataFrame, value: str, *within: str) -> DataFrame:
     """(within, value, ties, rank): the average rank of each distinct value."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("ties"))
-    w = Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("rank", F.coalesce(F.sum("ties").over(w), F.lit(0)) + (F.col("ties") + 1) / 2)
+    return running(counts, value, "ties", "rank", *within).withColumn("rank", F.col("rank") + (F.col("ties") + 1) / 2)
 
 
 def _on(a: DataFrame, b: DataFrame, value: str, within: tuple[str, ...]) -> DataFrame:
@@ -59,18 +83,25 @@ def effect_label(delta: Column) -> Column:
 
 
 def bh_fdr(rows: DataFrame, p: str) -> DataFrame:
-    """Benjamini-Hochberg; null p-values have null q and don't count."""
-    m = F.count(p).over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.col(p).asc_nulls_last()))
-    rows = rows.withColumn("_raw", F.col(p) * m / rank)
-    q = F.min("_raw").over(Window.orderBy(F.col(p).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("q", F.when(F.col(p).isNotNull(), F.round(F.least(q, F.lit(1.0)), 6))).drop("_raw")
+    """Benjamini-Hochberg; null p-values have null q and don't count.
+
+    Equal p-values have one q, so ranks are those of distinct values; the least later value is taken over ranges first.
+    """
+    kinds = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    total = kinds.agg(F.sum("_n").alias("_m"))
+    raw = running(kinds, "_p", "_n", "_before").crossJoin(F.broadcast(total)).withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_n")))
+    cut = ranged(raw, "_p")
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = cut.groupBy("_range").agg(F.min("_raw").alias("_least")).withColumn("_least", F.min("_least").over(later))
+    inner = F.min("_raw").over(Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    q = cut.withColumn("_inner", inner).join(least, "_range").select("_p", F.round(F.least("_inner", "_least", F.lit(1.0)), 6).alias("q"))
+    return rows.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks over rows that have both."""
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("m"))
-    rank = lambda c: rows.groupBy(c).agg(F.sum("m").alias("t")).withColumn("_r", F.coalesce(F.sum("t").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("t") + 1) / 2).select(c, F.col("_r").alias(f"_{c}"))
+    rank = lambda c: running(rows.groupBy(c).agg(F.sum("m").alias("t")), c, "t", "_r").select(c, (F.col("_r") + (F.col("t") + 1) / 2).alias(f"_{c}"))
     r = rows.join(rank(x), x).join(rank(y), y)
     a, b, m = F.col(f"_{x}"), F.col(f"_{y}"), F.col("m")
     s = r.agg(F.sum("m").alias("n"), F.sum(m * a).alias("sa"), F.sum(m * b).alias("sb"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
@@ -79,12 +110,13 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The statistic and degrees of freedom of the contingency table, without correction."""
+    """The statistic and degrees of freedom of the contingency table, without correction, from its filled cells alone."""
     cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     ra, rb = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("rb"))
-    grid = ra.crossJoin(F.broadcast(rb)).join(cells, [a, b], "left").na.fill(0, ["o"]).withColumn("n", F.sum("o").over(Window.partitionBy()))
-    e = F.col("ra") * F.col("rb") / F.col("n")
-    return grid.agg(F.max("n").alias("n"), F.round(F.sum((F.col("o") - e) * (F.col("o") - e) / e), 6).alias("chi2"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"))
+    part = F.col("o").cast("double") * F.col("o") / (F.col("ra").cast("double") * F.col("rb"))
+    out = cells.join(ra, a).join(rb, b).agg(F.sum("o").alias("n"), F.sum(part).alias("_q"))
+    kinds = ra.agg(F.count("*").alias("_a")).crossJoin(rb.agg(F.count("*").alias("_b")))
+    return out.crossJoin(kinds).select("n", F.round(F.col("n") * (F.col("_q") - 1), 6).alias("chi2"), ((F.col("_a") - 1) * (F.col("_b") - 1)).alias("df"))
 
 
 def normal_p(z: float) -> float:
@@ -134,7 +166,9 @@ def regression_metrics(rows: DataFrame, y: str, guess: str, *by: str) -> DataFra
 def ecdf(rows: DataFrame, value: str) -> DataFrame:
     """Share of rows up to each distinct value."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    return counts.withColumn("ecdf", F.round(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy()), 8))
+    total = counts.agg(F.sum("n").alias("_total"))
+    rows = running(counts, value, "n", "_before").crossJoin(F.broadcast(total))
+    return rows.select(value, "n", F.round((F.col("_before") + F.col("n")) / F.col("_total"), 8).alias("ecdf"))
 
 
 def pareto(rows: DataFrame, value: str) -> DataFrame:

@@ -25,12 +25,24 @@ def strip_html(c: Column) -> Column:
     return c
 
 
+#: What cleaning replaces, in this order: zero-width characters, line ends, bullets, numbered bullets, runs
+#: of blanks and of line ends.
+CLEANING = (
+    (r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]", ""),
+    (r"\r\n?", "\n"),
+    (r"(?mdU)^[\s]*[·•●○◆◇■□▪◦*\-–—+]{1,2}[\s]*", ""),
+    (r"(?mdU)^[\s]*(\d{1,2})[、.)）]", "$1、"),
+    (r"[ \t\u00a0\u3000]{2,}", " "),
+    (r"\n{3,}", "\n\n"),
+)
+
+
 def clean_text(c: Column) -> Column:
-    """Markup, zero-width characters, line ends, bullets, blanks and empty lines."""
-    c = strip_html(c)
-    for pattern, plain in ((r"[​‌‍﻿]", ""), (r"\r\n?", "\n"), (r"(?md)^[ \t]*[•●▪◆■*·-]+[ \t]*", ""), (r"[ \t　 ]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
+    """Markup, zero-width characters, line ends, bullets, numbers of points, blanks and empty lines; null is empty."""
+    c = strip_html(F.coalesce(c, F.lit("")))
+    for pattern, plain in CLEANING:
         c = F.regexp_replace(c, pattern, plain)
-    return trim_u(c)
+    return trim_u(F.array_join(F.transform(F.split(c, "\n"), trim_u), "\n"))
 
 
 def drop_lines(c: Column, patterns: list[str]) -> Column:
@@ -138,7 +150,7 @@ def boundary(word: str) -> str:
 def keyword_rows(rows: DataFrame, doc: str, text: str, words: list[str]) -> DataFrame:
     """K5, K8: one row a document and keyword found in it."""
     low = F.lower(F.col(text))
-    hits = F.array_compact(F.array(*[F.when(low.rlike(boundary(w)), F.lit(w)) for w in words]))
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)) & low.rlike(boundary(w)), F.lit(w)) for w in words]))
     return rows.select(doc, F.explode(hits).alias("skill"))
 
 
@@ -188,13 +200,18 @@ def ranked_demand(members: DataFrame, doc: str, universe: int | DataFrame) -> Da
 
 
 def cooccurrence(members: DataFrame, doc: str, least: int = 1) -> DataFrame:
-    """Joint counts, Jaccard and lift of skill pairs; the base is documents with a skill at all."""
-    m = members.select(doc, "skill").distinct()
-    single = m.groupBy("skill").agg(F.count("*").alias("n"))
-    total = m.agg(F.countDistinct(doc).alias("total"))
-    pairs = m.alias("x").join(m.alias("y"), (F.col(f"x.{doc}") == F.col(f"y.{doc}")) & (F.col("x.skill") < F.col("y.skill")))
-    pairs = pairs.groupBy(F.col("x.skill").alias("a"), F.col("y.skill").alias("b")).agg(F.count("*").alias("joint")).where(F.col("joint") >= least)
-    pairs = pairs.join(F.broadcast(single.select(F.col("skill").alias("a"), F.col("n").alias("na"))), "a").join(F.broadcast(single.select(F.col("skill").alias("b"), F.col("n").alias("nb"))), "b").crossJoin(F.broadcast(total))
+    """Joint counts, Jaccard and lift of skill pairs; the base is documents with a skill at all.
+
+    One aggregation of every document's pairs; a skill with itself counts the skill, and no skill the documents.
+    """
+    sets = members.groupBy(doc).agg(F.array_sort(F.collect_set("skill")).alias("s"))
+    both = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    counts = sets.select(F.explode(F.concat(none, both)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("joint"))
+    single = counts.where("a = b")
+    total = counts.where("a is null").select(F.col("joint").alias("total"))
+    pairs = counts.where((F.col("a") < F.col("b")) & (F.col("joint") >= least))
+    pairs = pairs.join(single.select("a", F.col("joint").alias("na")), "a").join(single.select("b", F.col("joint").alias("nb")), "b").crossJoin(F.broadcast(total))
     return pairs.select("a", "b", "joint", F.round(F.col("joint") / (F.col("na") + F.col("nb") - F.col("joint")), 6).alias("jaccard"), F.round(F.col("joint") * F.col("total") / (F.col("na") * F.col("nb")), 6).alias("lift"))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.exprs import days_between, signature
+from tarnfold.functions.exprs import canonical, days_between, signature
 
 
 def collapse_snapshots(rows: DataFrame, keys: list[str], created: str, tie: list[str], fields: list[str], groups: dict[str, str] | None = None) -> DataFrame:
     """V3: one row a key (entity, time): the fields of the first row by (created, tie), counts, distinct groups, first created."""
     first = F.min_by(F.struct(*fields), F.struct(created, *tie)).alias("_first")
-    counts = [F.countDistinct(c).alias(n) for n, c in (groups or {}).items()]
+    # Sizes of small sets instead of distinct counts, which would make a copy of every row for each.
+    counts = [F.size(F.collect_set(c)).cast("long").alias(n) for n, c in (groups or {}).items()]
     out = rows.groupBy(*keys).agg(F.count("*").alias("record_count"), *counts, F.min(created).alias("first_created"), first)
     return out.select(*keys, "record_count", *(groups or {}), "first_created", *[F.col("_first")[f].alias(f) for f in fields])
 
@@ -32,10 +33,11 @@ def run_number(value: Column, entity: list[str], order: list[str]) -> Column:
 
 
 def assign_versions(rows: DataFrame, entity: list[str], order: list[str], levels: dict[str, list[str]]) -> DataFrame:
-    """V2, V5, V6: for each level (name -> fields) a run number per entity, all over one sort."""
+    """V2, V5, V6: for each level (name -> fields) a run number per entity, all over one sort; fields are signed in canonical form."""
     w = Window.partitionBy(*entity).orderBy(*order)
+    kinds = dict(rows.dtypes)
     for name, fields in levels.items():
-        rows = rows.withColumn(f"_sig_{name}", signature(*map(F.col, fields)))
+        rows = rows.withColumn(f"_sig_{name}", signature(*[canonical(F.col(f), kinds[f]) for f in fields]))
     for name in levels:
         rows = rows.withColumn(f"_new_{name}", run_number(F.col(f"_sig_{name}"), entity, order))
     for name in levels:

@@ -108,9 +108,12 @@ def group_split_drift(spark, d):
     return features.split_drift(features.group_split(table(spark, d, "orders"), "o_custkey"), "o_totalprice")
 
 
-@query("select count(distinct o_custkey) as groups, cast(0 as bigint) as leaks from orders")
+@query("select count(distinct o_custkey) as groups, cast(count(distinct o_custkey) filter (k > 1) as bigint) as leaks from (select o_custkey, count(distinct case when o_custkey % 10 = 3 and o_orderkey % 2 = 1 then 'moved' else 'stays' end) as k from orders group by 1)")
 def group_split_leaks(spark, d):
-    return features.split_leaks(features.group_split(table(spark, d, "orders"), "o_custkey"), "o_custkey")
+    """M8, with faults planted: odd orders of some customers are moved to a split of their own."""
+    rows = features.group_split(table(spark, d, "orders"), "o_custkey")
+    moved = (F.col("o_custkey") % 10 == 3) & (F.col("o_orderkey") % 2 == 1)
+    return features.split_leaks(rows.withColumn("split", F.when(moved, "moved").otherwise(F.col("split"))), "o_custkey")
 
 
 @query(f"with r as (select o_orderpriority, (row_number() over (partition by o_orderpriority order by {_H.format('o_orderkey')}, o_orderkey) - 1) / cast(count(*) over (partition by o_orderpriority) as double) as s from orders) select o_orderpriority, case when s < 0.70 then 'train' when s < 0.70 + 0.15 then 'valid' else 'test' end as split, count(*) as n from r group by 1, 2")
@@ -147,9 +150,9 @@ def ridge_errors(spark, d):
 # text and keywords
 
 
-@query("select page_id, length(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]{1,200}>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&ldquo;', '“'), '&rdquo;', '”'), '&middot;', '·'), '\\s+', ' ', 'g')) as n from pages")
+@query("select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]{1,200}>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&ldquo;', '“'), '&rdquo;', '”'), '&middot;', '·'), '[\\t\\n\\f\\r ]+', ' ', 'g')) as plain from pages")
 def html_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(F.regexp_replace(texts.strip_html(F.col("html")), r"[\t\n\f\r ]+", " ")).cast("long").alias("n"))
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(texts.strip_html(F.col("html")), r"[\t\n\f\r ]+", " ")).alias("plain"))
 
 
 @query("select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: not regexp_matches(x, '(?i)licensed|copyright|@|https?://')), chr(10)) as kept from documents")
@@ -162,10 +165,10 @@ def clean_texts(spark, d):
     return table(spark, d, "pages").select("page_id", texts.clean_text(F.col("html")).alias("clean"))
 
 
-@query("select doc_id, len(regexp_extract_all(text, '[0-9]+[.,]?[0-9]*')) as hits, regexp_matches(regexp_replace(text, '[0-9]+[.,]?[0-9]*', ' ', 'g'), '[0-9]') as rest from documents")
+@query("select doc_id, len(regexp_extract_all(text, '[0-9]+[.,]?[0-9]*')) as hits, regexp_replace(text, '[0-9]+[.,]?[0-9]*', ' ', 'g') as rest from documents")
 def leak_removal(spark, d):
     clean, hits = texts.remove_until_clean(F.col("text"), ["[0-9]+[.,]?[0-9]*"])
-    return table(spark, d, "documents").select("doc_id", hits.cast("long").alias("hits"), clean.rlike("[0-9]").alias("rest"))
+    return table(spark, d, "documents").select("doc_id", hits.cast("long").alias("hits"), clean.alias("rest"))
 
 
 _C = "t as (select conv_id, turn, regexp_extract_all(lower(text), '([a-z][a-z0-9+#.]*)') as w from conversations), p as (select conv_id, turn, w, lag(w) over (partition by conv_id order by turn) as o, lag(turn) over (partition by conv_id order by turn) as ot from t)"
@@ -267,7 +270,7 @@ def dictionary_matches(spark, d):
 # records
 
 
-@query(r"select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^([^:]+://[^/?#]*)', 1)) || regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1), '([?&])(utm_source|ref|from|spm|utm_medium|utm_campaign)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?'), '[?&]$', '') as url from pages")
+@query(r"select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^([^:]+://[^/?#]*)', 1)) || regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1), '([?&])(utm_source|utm_medium|utm_campaign|utm_term|utm_content|pcm|from|spm|ref|referer|share_token)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?'), '[?&]$', '') as url from pages")
 def url_normalize(spark, d):
     return table(spark, d, "pages").select("page_id", records.normalize_url(F.col("url")).alias("url"))
 
@@ -287,18 +290,23 @@ def mapping_audit(spark, d):
     return records.mapping_audit(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
-_PAY = "t as (select p_partkey, case p_partkey % 5 when 0 then '薪资面议' when 1 then p_size || '/天' when 2 then (p_size + 50) || '-' || p_size || '/天' when 3 then p_size || '-' || (p_size + 50) else p_size || '-' || (p_size + 50) || '/天' end as t, p_partkey % 5 as k, cast(p_size as double) as s from part)"
+_PAY = """t as (select p_partkey, p_partkey % 9 as k, cast(p_size as double) as s, case p_partkey % 9 when 0 then '薪资面议' when 1 then p_size || '/天' when 2 then (p_size + 50) || '-' || p_size || '/天'
+  when 3 then p_size || '-' || (p_size + 50) when 4 then ' ' || p_size || '-' || (p_size + 50) || '/天' when 5 then p_size || '至' || (p_size + 50) || '元/日' when 6 then '约' || p_size || '/天，可面议'
+  when 7 then '0~' || p_size || '.5元/天，13薪' else '' end as t from part)"""
 
 
 def _pay(spark, d):
-    s = F.col("p_size").cast("string")
-    more = (F.col("p_size") + 50).cast("string")
-    k = F.col("p_partkey") % 5
-    t = F.when(k == 0, "薪资面议").when(k == 1, F.concat(s, F.lit("/天"))).when(k == 2, F.concat(more, F.lit("-"), s, F.lit("/天"))).when(k == 3, F.concat(s, F.lit("-"), more)).otherwise(F.concat(s, F.lit("-"), more, F.lit("/天")))
+    s, more, k = F.col("p_size").cast("string"), (F.col("p_size") + 50).cast("string"), F.col("p_partkey") % 9
+    forms = [["薪资面议"], [s, "/天"], [more, "-", s, "/天"], [s, "-", more], [" ", s, "-", more, "/天"], [s, "至", more, "元/日"], ["约", s, "/天，可面议"], ["0~", s, ".5元/天，13薪"], [""]]
+    t = F.concat()
+    for i, parts in enumerate(forms):
+        t = F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(t)
     return table(spark, d, "part").select("p_partkey", t.alias("t"))
 
 
-@query(f"with {_PAY}, v as (select p_partkey, k, case k when 1 then s when 2 then s + 50 when 4 then s end as low, case k when 1 then s when 2 then s when 4 then s + 50 end as high from t) select p_partkey, low, high, (low + high) / 2 as mid, high - low as span, case when k = 0 then '面议' when k = 3 then '解析失败' else '已解析' end as status, cast(k = 0 as integer) as negotiable, concat_ws('；', case when low > high then '上下限倒置' end, case when low <= 0 then '下限非正数' end, case when high <= 0 then '上限非正数' end) as anomaly from v")
+@query(f"""with {_PAY}, v as (select p_partkey, k, case k when 1 then s when 2 then s + 50 when 4 then s when 5 then s when 7 then 0.0 end as low, case k when 1 then s when 2 then s when 4 then s + 50 when 5 then s + 50 when 7 then s + 0.5 end as high from t)
+select p_partkey, low, high, (low + high) / 2 as mid, high - low as span, case when k in (0, 6) then '面议' when k in (3, 8) then '解析失败' else '已解析' end as status, cast(k in (0, 6) as integer) as negotiable,
+  concat_ws('；', case when low > high then '上下限倒置' end, case when low <= 0 then '下限非正数' end, case when high <= 0 then '上限非正数' end) as anomaly from v""")
 def salary_parse(spark, d):
     return _pay(spark, d).withColumns(records.parse_pay(F.col("t"))).drop("t")
 
@@ -330,14 +338,15 @@ def slot_repair(spark, d):
     return records.repair_slots(rows, "nature", "size", "place")
 
 
-_RES = "b as (select lower(replace('Firm ' || (c_custkey % 400), ' ', '')) as norm, cast(case when c_custkey % 400 < 100 then c_nationkey else 0 end as varchar) as place, case when c_custkey % 400 between 200 and 249 then 'shared ' || (c_custkey % 10) end as profile from customer)"
+_RES = "b as (select lower(replace('Firm ' || (c_custkey % 400), ' ', '')) as norm, case when c_custkey % 400 < 100 then cast(c_nationkey as varchar) when c_custkey % 400 < 300 and c_custkey % 3 = 0 then '' else '0' end as place, case when c_custkey % 400 between 200 and 249 then 'shared ' || (c_custkey % 10) end as profile from customer)"
 
 
-@query(f"with {_RES}, pl as (select norm, count(distinct place) as places from b group by 1), sh as (select profile from b where profile is not null group by 1 having count(distinct norm) > 1), sn as (select distinct norm from b where profile in (select profile from sh)), g as (select norm, place, count(*) as rows from b group by 1, 2) select g.norm, place, rows, g.norm as entity, case when places > 1 then 'MULTI_LOCATION_AMBIGUOUS' when sn.norm is not null then 'HIGH_CONFIDENCE_MATCH' else 'EXACT_NORMALIZED_NAME' end as method, case when places > 1 then 0.7 when sn.norm is not null then 0.9 else 1.0 end::double as confidence, cast(places <= 1 and sn.norm is null as integer) as formal from g join pl using (norm) left join sn on sn.norm = g.norm")
+@query(f"with {_RES}, pl as (select norm, count(distinct nullif(place, '')) as places from b group by 1), sh as (select profile from b where profile is not null group by 1 having count(distinct norm) > 1), sn as (select distinct norm from b where profile in (select profile from sh)), g as (select norm, coalesce(place, '') as place, count(*) as rows from b group by 1, 2) select g.norm, place, rows, case g.norm when 'firm7' then 'Seven' when 'firm210' then 'Ten' else g.norm end as entity, case when g.norm in ('firm7', 'firm210') then 'APPROVED_ALIAS' when places > 1 then 'MULTI_LOCATION_AMBIGUOUS' when sn.norm is not null then 'HIGH_CONFIDENCE_MATCH' else 'EXACT_NORMALIZED_NAME' end as method, case when g.norm in ('firm7', 'firm210') then 0.95 when places > 1 then 0.7 when sn.norm is not null then 0.9 else 1.0 end::double as confidence, cast(g.norm in ('firm7', 'firm210') or places <= 1 and sn.norm is null as integer) as formal from g join pl using (norm) left join sn on sn.norm = g.norm")
 def company_resolution(spark, d):
     k = F.col("c_custkey") % 400
-    rows = table(spark, d, "customer").select(F.concat(F.lit("Ｆirm "), k.cast("string")).alias("name"), F.when(k < 100, F.col("c_nationkey")).otherwise(0).cast("string").alias("place"), F.when(k.between(200, 249), F.concat(F.lit("shared "), (F.col("c_custkey") % 10).cast("string"))).alias("profile"))
-    return records.resolve_names(rows, "name", "place", "profile")
+    rows = table(spark, d, "customer").select(F.concat(F.lit("Ｆirm "), k.cast("string")).alias("name"), F.when(k < 100, F.col("c_nationkey").cast("string")).when((k < 300) & (F.col("c_custkey") % 3 == 0), "").otherwise("0").alias("place"), F.when(k.between(200, 249), F.concat(F.lit("shared "), (F.col("c_custkey") % 10).cast("string"))).alias("profile"))
+    aliases = spark.createDataFrame([("Firm 7", "Seven"), ("ｆirm210", "Ten"), ("no such firm", "None")], "alias string, canonical string")
+    return records.resolve_names(rows, "name", "place", "profile", aliases)
 
 
 _SNAP = "s as (select user_id, date_trunc('hour', ts) as h, event_type, count(distinct event_id) as support from events where event_type <> 'view' or event_type is null group by 1, 2, 3), a as (select user_id, h, count(*) as candidates, max(support) as best, cast(sum(support) as bigint) as total, min(event_type) as one from s group by 1, 2), sn as (select user_id, h, case when candidates = 1 then 'CONSISTENT' else 'AMBIGUOUS' end as state, candidates, best as support, round(best / cast(total as double), 6) as rate, case when candidates = 1 then one end as profile from a)"

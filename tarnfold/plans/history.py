@@ -67,20 +67,43 @@ def version_aba(spark, d):
     return versions.reverted_versions(_history(spark, d), "user_id", "core", ["event_type"])
 
 
-@query("select rule, cast(0 as bigint) as violations from (values ('last before first'), ('next not after last'), ('versions not contiguous'), ('overlap with previous'), ('count is not the last number'), ('final is not last'), ('final has a next'), ('negative duration')) t(rule)")
+@query("""with f as (select * from (select *, row_number() over (partition by user_id, ts order by event_id) as n from events) where n = 1),
+r as (select user_id, ts, event_type, case when event_type = lag(event_type) over w then 0 else 1 end as nw from f window w as (partition by user_id order by ts, event_id)),
+v as (select *, sum(nw) over (partition by user_id order by ts rows unbounded preceding) as core from r),
+g as (select user_id, core, min(ts) as a, max(ts) as b from v group by 1, 2),
+h0 as (select *, lead(a) over (partition by user_id order by core) as nx from g),
+h as (select user_id, case when user_id % 10 = 1 and core >= 3 then core + 1 else core end as core, a, case when user_id % 10 = 2 and core = 2 then a - interval 1 day else b end as b, nx,
+        case when user_id % 10 = 3 and core = 1 then 1 else cast(nx is null as integer) end as fin, epoch_us(b) - epoch_us(a) as dur from h0),
+x as (select *, lead(core) over w as n_core, lag(b) over w as p_last, max(core) over (partition by user_id) as mx, count(*) over (partition by user_id) as cnt from h window w as (partition by user_id order by core))
+select 'last before first' as rule, count(*) filter (b < a) as violations from x union all select 'next not after last', count(*) filter (nx <= b) from x
+union all select 'versions not contiguous', count(*) filter (n_core <> core + 1) from x union all select 'overlap with previous', count(*) filter (p_last >= a) from x
+union all select 'count is not the last number', count(*) filter (core = mx and cnt <> mx) from x union all select 'final is not last', count(*) filter ((fin = 1) <> (core = mx)) from x
+union all select 'final has a next', count(*) filter (fin = 1 and nx is not null) from x union all select 'negative duration', count(*) filter (dur < 0) from x""")
 def version_time_order(spark, d):
-    """V14 on a history with distinct times per user."""
+    """V14 on a history with distinct times per user, some of whose rows are given faults."""
     rows = dedup.first_rows(table(spark, d, "events"), ["user_id", "ts"], ["event_id"])
     v = versions.assign_versions(rows, ["user_id"], ["ts", "event_id"], {"core": ["event_type"], "full": ["event_type"]})
-    return versions.time_order_problems(versions.version_history(v, "user_id", "ts", "event_id", "core", "full", ["event_type"]), "user_id", "core")
+    h, some = versions.version_history(v, "user_id", "ts", "event_id", "core", "full", ["event_type"]), F.col("user_id") % 10
+    h = h.withColumns({
+        "is_final": F.when((some == 3) & (F.col("core") == 1), 1).otherwise(F.col("is_final")),
+        "last_time": F.when((some == 2) & (F.col("core") == 2), F.col("first_time") - F.expr("interval 1 day")).otherwise(F.col("last_time")),
+        "core": F.when((some == 1) & (F.col("core") >= 3), F.col("core") + 1).otherwise(F.col("core")),
+    })
+    return versions.time_order_problems(h, "user_id", "core")
 
 
-@query(f"with {_V} select cast(count(*) as bigint) as compared, cast(0 as bigint) as left_only, cast(0 as bigint) as right_only, cast(0 as bigint) as core_differs from v")
+@query(f"""with {_V}, d as (select event_id, core from v where event_id % 50 <> 7), s as (select event_id, core + cast(event_id % 100 = 3 as integer) as core from v where event_id % 50 <> 9)
+select count(*) as compared, count(*) filter (s.event_id is null) as left_only, count(*) filter (d.event_id is null) as right_only, count(*) filter (d.core <> s.core) as core_differs from d full join s on d.event_id = s.event_id""")
 def version_reconcile(spark, d):
-    """Versions derived twice, through the window and through the history's spans."""
-    v = _versioned(spark, d).select("event_id", "user_id", "core", "ts")
-    again = versions.assign_versions(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"core": ["event_type"]}).select("event_id", "core")
-    return versions.reconcile(v.select("event_id", "core"), again, ["event_id"], ["core"])
+    """Versions through the window against the history's spans, with faults planted on both sides."""
+    v = _versioned(spark, d).select("user_id", "event_id", "core", "ts")
+    spans = _history(spark, d).select(F.col("user_id").alias("u"), F.col("core").alias("span"), "first_time", "last_time")
+    # Rows of one time can lie in two spans that meet there; either will do.
+    hits = v.join(spans, (F.col("u") == F.col("user_id")) & F.col("ts").between(F.col("first_time"), F.col("last_time")))
+    place = F.when(F.col("span") == F.col("core"), 0).otherwise(1)
+    again = hits.groupBy("event_id").agg(F.min_by("span", place).alias("core")).where("event_id % 50 <> 9")
+    again = again.withColumn("core", F.col("core") + (F.col("event_id") % 100 == 3).cast("int"))
+    return versions.reconcile(v.select("event_id", "core").where("event_id % 50 <> 7"), again, ["event_id"], ["core"])
 
 
 @query(f"with {_V}, s as (select user_id, count(*) as n from h group by user_id) select cast(count(*) as bigint) as entities, round(avg(n), 6) as mean_versions, quantile_cont(n, 0.5) as p50, quantile_cont(n, 0.95) as p95, max(n) as most from s")
@@ -168,11 +191,11 @@ def primary_category(spark, d):
     return dedup.primary_item(g, "o_custkey", "p_brand")
 
 
-@query(f"with {_M} select cast(count(distinct o_custkey) as bigint) as compared, cast(0 as bigint) as left_only, cast(0 as bigint) as right_only, cast(0 as bigint) as hits_differs from m")
+@query(f"with {_M} select cast(count(distinct o_custkey) as bigint) as compared, cast(0 as bigint) as left_only, cast(0 as bigint) as right_only, cast(count(distinct o_custkey) filter (o_custkey % 20 = 3) as bigint) as hits_differs from m")
 def membership_reconcile(spark, d):
-    """Hits of the relation against hits counted from the rows."""
+    """Hits of the relation against hits counted from the rows, some of which are given one more."""
     o, li, p = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
-    direct = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).groupBy("o_custkey").agg(F.count("*").alias("hits"))
+    direct = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).groupBy("o_custkey").agg((F.count("*") + F.max((F.col("o_custkey") % 20 == 3).cast("long"))).alias("hits"))
     return versions.reconcile(_members(spark, d).groupBy("o_custkey").agg(F.sum("hits").alias("hits")), direct, ["o_custkey"], ["hits"])
 
 
@@ -262,8 +285,15 @@ def candidate_segments(spark, d):
 
 @query(f"with {_I}, p as (select o_custkey, o_orderkey, unnest(generate_series(cast(s as date)::timestamp, cast(e as date)::timestamp, interval 1 day))::date as day from i where cast(e as date) >= cast(s as date)) select day, count(*) as rows, count(distinct o_custkey) as entities from p group by 1")
 def daily_panel(spark, d):
-    """The panel and the distinct entities active on a day."""
-    return lifecycle.daily_panel(_intervals(spark, d), ["o_custkey", "o_orderkey"], "s", "e").groupBy("day").agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("entities"))
+    """Intervals and distinct entities active on a day."""
+    return lifecycle.daily_actives(_intervals(spark, d), "o_custkey", "s", "e")
+
+
+@query("select event_id, unnest(generate_series(cast(ts as date)::timestamp, cast(ts as date)::timestamp + to_days(cast(event_id % 5 as integer)), interval 1 day))::date as day from events")
+def interval_panel(spark, d):
+    """Every event's days, from its own to a few later."""
+    rows = table(spark, d, "events").select("event_id", F.to_date("ts").alias("s"), F.date_add(F.to_date("ts"), (F.col("event_id") % 5).cast("int")).alias("e"))
+    return lifecycle.daily_panel(rows, ["event_id"], "s", "e")
 
 
 _A = _I + """, ev as (select cast(s as date) as day, 1 as a, 0 as c from i union all select cast(e as date) + 1, 0, 1 from i),
@@ -277,10 +307,11 @@ def active_sweep(spark, d):
     return lifecycle.active_series(_intervals(spark, d), "s", "e")
 
 
-@query(f"with {_A} select cast(count(*) as bigint) as days, cast(0 as bigint) as broken, cast(sum(active) as bigint) as panel_rows from series")
+@query(f"with {_A}, p as (select *, case when day(day) = 15 then ended + 1 else ended end as c, lag(active, 1, 0) over (order by day) as was from series) select cast(count(*) as bigint) as days, cast(count(*) filter (active <> was + new - c) as bigint) as broken, cast(sum(active) as bigint) as panel_rows from p")
 def coverage_identity(spark, d):
-    """N(t) = N(t-1) + A(t) - C(t) on every day."""
+    """N(t) = N(t-1) + A(t) - C(t) on every day, but for one a month that is given a fault."""
     rows = lifecycle.active_series(_intervals(spark, d), "s", "e").withColumn("was", F.expr("lag(active, 1, 0L) over (order by day)"))
+    rows = rows.withColumn("ended", F.col("ended") + (F.dayofmonth("day") == 15).cast("int"))
     return rows.agg(F.count("*").alias("days"), F.count_if(F.expr("active <> was + new - ended")).alias("broken"), F.sum("active").alias("panel_rows"))
 
 
