@@ -67,8 +67,8 @@ def mann_whitney(rows: DataFrame, flag: Column, value: str, *within: str) -> Dat
     """U of the flagged rows, Cliff's delta and the corrected normal deviate, per `within`."""
     rows = rows.withColumn("_flag", flag).where(F.col(value).isNotNull() & F.col("_flag").isNotNull())
     ranks = value_ranks(rows, value, *within)
-    per = rows.groupBy(*within, value).agg(F.count_if("_flag").alias("a"), F.count_if(~F.col("_flag")).alias("b"))
-    s = _on(per, ranks, value, within).groupBy(*within).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
+    per = rows.groupBy(*within, value).agg(F.count_if("_flag").alias("_a"), F.count_if(~F.col("_flag")).alias("_b"))
+    s = _on(per, ranks, value, within).groupBy(*within).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("rank")).alias("r"), F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
     s = s.where("n1 > 0 and n2 > 0").withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = F.col("n1") + F.col("n2")
     sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("t") / (n * (n - 1))))

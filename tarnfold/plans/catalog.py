@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import analysis, audits, history
+from tarnfold.plans import analysis, audits, history, postings, samples
 
-PARTS = [history, analysis, audits]
+PARTS = [history, analysis, audits, postings, samples]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
