@@ -15,8 +15,8 @@ from tarnfold.tables import table
 #: Dimensions of the hashed trigram space; centroids a language; labelled rows that the classifier is fitted on at
 #: most, in all and of one language.
 DIMS, CENTROIDS, SAMPLE, PER_LANGUAGE = 4096, 4, 4000, 600
-#: A text is rejected if its similarity is under this part of the least that its language's training rows have.
-SLACK = 0.5
+#: A text is rejected if its similarity is under this part of a low quantile of those of its centroid's training rows.
+SLACK, LOW = 0.5, 0.01
 UNKNOWN = "und"
 
 
@@ -36,7 +36,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: np.ndarray, langs: list[str], k: int = CENTROIDS) -> dict:
-    """IDF, and for each language up to k unit centroids of its rows by spherical k-means, with the least similarity of a row."""
+    """IDF, and for each language up to k unit centroids of its rows by spherical k-means, with a low quantile of its rows' similarities."""
     idf = (np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(0))) + 1).astype(np.float32)
     vectors = _unit(vectors * idf)
     centroids, owners, least = [], [], []
@@ -51,31 +51,36 @@ def fit(vectors: np.ndarray, langs: list[str], k: int = CENTROIDS) -> dict:
             c = np.array([_unit(x[near == j].sum(0)) if (near == j).any() else c[j] for j in range(len(c))])
         centroids.append(c)
         owners += [lang] * len(c)
-        least += [float((x @ c.T).max(1).min())] * len(c)
+        sims = x @ c.T
+        near = sims.argmax(1)
+        whole = float(np.quantile(sims.max(1), LOW))
+        least += [float(np.quantile(sims[near == j, j], LOW)) if (near == j).sum() >= 20 else whole for j in range(len(c))]
     return {"idf": idf, "centroids": np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32), "owners": owners, "least": least}
 
 
 def training_rows(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
     """Vectors and languages of a bounded sample of rows (doc_id, text, lang), evenly over the languages, by hash of the id.
 
-    The first rows in hash order of 64 hash ranges a language are taken, so no task ranks a whole language. At most
-    `sample` vectors of DIMS floats reach the driver.
+    The first rows in hash order of 64 hash ranges a language are ranked, so no task ranks a whole language, and the
+    first of those are taken, at least one of every language. At most `sample` vectors of DIMS floats reach the driver,
+    or one a language if there are more of those.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    langs = max(1, labelled.select("lang").distinct().limit(sample).count())
-    each = max(1, min(per_language, sample // langs) // 64)
+    langs = max(1, labelled.select("lang").distinct().count())
+    each = max(1, min(per_language, sample // langs))
     mark = F.xxhash64("doc_id")
     salted = labelled.select("doc_id", "lang", mark.alias("mark"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64)).alias("salt"))
-    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("mark", "doc_id"))).where(F.col("nth") <= each)
-    chosen = ranked.select("doc_id").limit(sample)
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("mark", "doc_id"))
+    ranked = salted.withColumn("nth", nth("lang", "salt")).where(F.col("nth") <= -(-each // 64))
+    chosen = ranked.withColumn("nth", nth("lang")).where(F.col("nth") <= each).select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x for _, x in keep], pa.string()), pa.array([grams(t).tobytes() for t, _ in keep], pa.binary())], names=["lang", "vector"])
 
-    texts = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = texts.drop("doc_id").mapInArrow(run, "lang string, vector binary").limit(2 * sample).collect()
+    texts = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    rows = texts.drop("doc_id").mapInArrow(run, "lang string, vector binary").collect()
     rows = sorted((r["lang"], bytes(r["vector"])) for r in rows)
     vectors = np.array([np.frombuffer(v, np.float32) for _, v in rows]) if rows else np.zeros((0, DIMS), np.float32)
     return vectors, [x for x, _ in rows]
@@ -86,7 +91,7 @@ def identify(docs: DataFrame, model: dict, slack: float = SLACK) -> DataFrame:
 
     Every whole text's unit TF-IDF vector is compared with all centroids; the nearest one's language is predicted and
     the cosine is the score. `rejected` says that the text has no letter or lies too far from every language: under
-    `slack` of the least similarity seen in training. Null texts, texts without a letter, and all texts if the model
+    `slack` of the low quantile of its centroid. Null texts, texts without a letter, and all texts if the model
     has no centroid are `und` with score 0. Ties go to the first language in order. The columns lang_pred, score and
     rejected are replaced if `docs` has them; other columns stay as they are.
     """

@@ -20,7 +20,10 @@ from tarnfold.tables import table
 #: that are only context of the others.
 WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 16, 64, 4096, 32, 8
 #: Windows of a step; the first id of a text and the end; how many ids there are.
-STEP, BEGIN, END, VOCABULARY = 16, 50256, 2, 50257
+STEP, BEGIN, END, VOCABULARY = 64, 50256, 2, 50257
+#: Ids of a logical shard about, rounds in which shards train from the mean of the round before, and weight of an id's
+#: share of its class against what followed the class before it.
+SHARD_IDS, ROUNDS, PRIOR = 8 << 20, 3, 50.0
 #: The most frequent words whose counts are broadcast; all others are joined.
 HEAD = 1 << 18
 
@@ -45,41 +48,52 @@ _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
 def forward(m: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log-probabilities of the next id's class at each position of windows (n, WINDOW): one masked attention, a residual, a softmax."""
-    x = m["e"][ids % EMBEDDED] + m["p"]
-    q, k, v = x @ m["q"], x @ m["k"], x @ m["v"]
-    s = (q @ k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5) + _MASK
+    """Scores of the next id's class at each position of windows (n, WINDOW), a row a position, the largest 0: one masked
+    attention and a residual, whose softmax is the class's probability."""
+    n = len(ids)
+    x = (m["e"][ids % EMBEDDED] + m["p"]).reshape(-1, WIDTH)
+    qkv = (x @ np.concatenate([m["q"], m["k"], m["v"]], axis=1)).reshape(n, WINDOW, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    s = q @ k.transpose(0, 2, 1)
+    s *= np.float32(WIDTH**-0.5)
+    s += _MASK
     s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(-1, keepdims=True)
-    h = s @ v
+    h = (s @ v).reshape(-1, WIDTH)
     y = h @ m["o"] + x
-    z = y @ m["u"] + m["b"]
+    z = y @ m["u"]
+    z += m["b"]
     z -= z.max(-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(-1, keepdims=True))
     return z, (x, q, k, v, s, h, y)
 
 
 def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log-likelihood over positions of weight 1."""
+    n = len(ids)
     z, (x, q, k, v, s, h, y) = forward(m, ids)
-    d = np.exp(z)
-    np.put_along_axis(d, goals[..., None], np.take_along_axis(d, goals[..., None], -1) - 1, -1)
-    d *= (weight / max(1.0, float(weight.sum())))[..., None]
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"u": flat(y).T @ flat(d), "b": flat(d).sum(0)}
-    dy = d @ m["u"].T
-    g["o"] = flat(h).T @ flat(dy)
-    dh, dx = dy @ m["o"].T, dy.copy()
+    d = np.exp(z, out=z)
+    share = weight.ravel() / np.float32(max(1.0, float(weight.sum())))
+    d *= (share / d.sum(-1))[:, None]
+    d[np.arange(len(d)), goals.ravel()] -= share
+    g = {"u": y.T @ d, "b": d.sum(0)}
+    dx = d @ m["u"].T
+    g["o"] = h.T @ dx
+    dh = (dx @ m["o"].T).reshape(n, WINDOW, WIDTH)
     ds, dv = dh @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dh
-    ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, dz in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(x).T @ flat(dz)
-        dx += dz @ m[name].T
-    g["p"] = dx.sum(0)
+    ds -= (ds * s).sum(-1, keepdims=True)
+    ds *= s
+    ds *= np.float32(WIDTH**-0.5)
+    dz = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * WIDTH)
+    g["q"], g["k"], g["v"] = np.split(x.T @ dz, 3, axis=1)
+    dx += dz @ np.concatenate([m["q"], m["k"], m["v"]], axis=1).T
+    g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
+    rows = (ids % EMBEDDED).ravel()
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     g["e"] = np.zeros_like(m["e"])
-    np.add.at(g["e"].reshape(-1), ((ids % EMBEDDED).reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dx.ravel())
+    g["e"][rows[first]] = np.add.reduceat(dx[order], first, axis=0)
     return g
 
 
@@ -117,37 +131,39 @@ class Adam:
             self.flat -= by
 
 
-def trained(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass over the windows by Adam."""
-    adam = Adam(m, rate)
-    adam.learn(ids, goals, weight)
-    return adam.model
-
-
-def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows of sequences: ids, next ids, 1 where a position is scored (once in all windows), and whose it is."""
-    stride = WINDOW - OVERLAP
+def windows(seqs: list[np.ndarray], overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of sequences that overlap by `overlap`: ids, next ids, 1 where a position is scored (once in all windows), and whose it is."""
+    stride = WINDOW - overlap
     lengths = np.array([len(s) + 1 for s in seqs], np.int64)
     full = np.concatenate([part for s in seqs for part in ((BEGIN,), s, (END,))]) if seqs else np.zeros(0, np.int64)
     offset = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if seqs else lengths
-    count = np.maximum(1, -(-(lengths - OVERLAP) // stride))
+    count = np.maximum(1, -(-(lengths - overlap) // stride))
     owner = np.repeat(np.arange(len(seqs)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     place = nth[:, None] * stride + np.arange(WINDOW)
     real = place < lengths[owner][:, None]
     at = np.where(real, offset[owner][:, None] + place, 0)
-    weight = (real & ((nth[:, None] == 0) | (np.arange(WINDOW) >= OVERLAP))).astype(np.float32)
+    weight = (real & ((nth[:, None] == 0) | (np.arange(WINDOW) >= overlap))).astype(np.float32)
     return full[at], full[np.where(real, at + 1, 0)], weight, owner
 
 
 def class_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id, classes having about equal shares of all counts, and the log10 share of the id in its class."""
+    """Class of each id, classes having about equal shares of all counts, and the share of the id in its class."""
     smooth = counts + 0.5
     order = np.argsort(-smooth, kind="stable")
     share = np.cumsum(smooth[order]) / smooth.sum()
     of = np.empty(len(counts), np.int64)
     of[order] = np.minimum(CLASSES - 1, ((share - smooth[order] / smooth.sum() / 2) * CLASSES).astype(np.int64))
-    return of, np.log10(smooth / np.bincount(of, smooth, CLASSES)[of])
+    return of, smooth / np.bincount(of, smooth, CLASSES)[of]
+
+
+def inner_table(pairs: np.ndarray, of: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """log10 of the probability of an id in its class behind an id of each class, from counts (class before, id)."""
+    out = np.empty((CLASSES, len(of)), np.float32)
+    for c in range(CLASSES):
+        total = np.bincount(of, pairs[c], CLASSES)[of]
+        out[c] = np.log10((pairs[c] + PRIOR * share) / (total + PRIOR))
+    return out
 
 
 _IDS: dict[str, Ids] = {}
@@ -158,15 +174,25 @@ def _ids(path: str) -> Ids:
 
 
 def _sum_vectors(rows: DataFrame) -> np.ndarray | None:
-    """The sum of float vectors (part int, vector binary) of one fixed length, added up in two levels."""
+    """The sum of vectors (part long, vector binary) of one fixed length, by a tree of sums of 64 that `part` orders."""
 
     def add(group: pa.Table) -> pa.Table:
-        vectors = [np.frombuffer(zlib.decompress(x), np.float64) for x in group.column("vector").to_pylist()]
-        return pa.table({"vector": pa.array([zlib.compress(np.sum(vectors, axis=0).tobytes(), 1)], pa.binary())})
-
-    first = rows.withColumn("some", F.floor(F.col("part") / 64)).groupBy("some").applyInArrow(add, "vector binary")
-    got = first.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(add, "vector binary").collect()
-    return np.frombuffer(zlib.decompress(bytes(got[0]["vector"])), np.float64) if got else None
+        group = group.sort_by("part")
+        total = 0
+        for x in group.column("vector"):
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.float64)
+        return pa.table({"part": group.column("some")[:1], "vector": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    rows = settle(rows, "vectors", clean=False)
+    while (n := rows.agg(F.max("part")).first()[0]) is not None:
+        if n < 64:
+            got = [np.frombuffer(zlib.decompress(bytes(r["vector"])), np.float64) for r in rows.withColumn("some", F.lit(0).cast("long")).groupBy("some").applyInArrow(add, "part long, vector binary").collect()]
+            forget(rows.sparkSession, rows)
+            return got[0]
+        more = rows.withColumn("some", F.floor(F.col("part") / 64).cast("long")).groupBy("some").applyInArrow(add, "part long, vector binary")
+        rows, old = settle(more, "vectors", clean=False), rows
+        forget(rows.sparkSession, old)
+    return None
 
 
 def cut(docs: DataFrame, path: str) -> DataFrame:
@@ -181,64 +207,89 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
-def id_counts(rows: DataFrame) -> np.ndarray:
-    """How often each id is in the texts of `rows` (ids); a task sends one vector."""
+def _counted(rows: DataFrame, size: int, codes) -> np.ndarray:
+    """How often each number is among codes(ids of a batch of texts, one behind the other with begin and end); a task sends one vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(VOCABULARY)
-        for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=VOCABULARY)
-            counts[END] += batch.num_rows
+        counts = np.zeros(size)
+        begin, end = np.array([BEGIN], "<u2").tobytes(), np.array([END], "<u2").tobytes()
+        for batch in small_batches(batches, 500):
+            whole = np.frombuffer(b"".join(begin + x + end for x in batch.column("ids").to_pylist()), "<u2").astype(np.int64)
+            counts += np.bincount(codes(whole), minlength=size)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "vector"])
 
-    got = _sum_vectors(rows.select("ids").mapInArrow(run, "part int, vector binary"))
-    return got if got is not None else np.zeros(VOCABULARY)
+    got = _sum_vectors(rows.select("ids").mapInArrow(run, "part long, vector binary"))
+    return got if got is not None else np.zeros(size)
 
 
-def model_of(rows: DataFrame) -> dict:
-    """The model learned from the texts of `rows` (ids).
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id is in the texts of `rows` (ids), the end included."""
+    counts = _counted(rows, VOCABULARY, lambda whole: whole[whole != BEGIN])
+    return counts
 
-    Classes come from counts of ids in all texts. Every task trains from the same start on all windows of its texts;
-    the model is the mean of the tasks' models, weighed by their windows. The driver gets a model's size, no more.
-    """
-    of, inner = class_table(id_counts(rows))
-    start = init()
-    names = sorted(start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def pair_counts(rows: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often each id stands behind one of each class in the texts of `rows` (ids), as a matrix."""
+
+    def codes(whole: np.ndarray) -> np.ndarray:
+        inside = whole[1:] != BEGIN
+        return of[whole[:-1][inside]] * VOCABULARY + whole[1:][inside]
 
-        adam, n = Adam(start), 0
-        for batch in small_batches(batches, 256):
-            ids, goals, weight, _ = windows([np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()])
-            adam.learn(ids, of[goals], weight)
-            n += len(ids)
-        if n:
+    return _counted(rows, CLASSES * VOCABULARY, codes).reshape(CLASSES, VOCABULARY)
+
+
+def model_of(rows: DataFrame, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS) -> dict:
+    """The model learned from the texts of `rows` (mark, ids).
+
+    Classes come from counts of ids in all texts, and what an id's class holds from counts behind each class. Texts
+    are dealt by `mark`, a hash, to logical shards of about `shard_ids` ids, whatever their number, and to rounds. In
+    a round every shard trains, from the mean of the models of the round before, on all windows of its texts; the
+    means are weighed by windows. So the model depends on the texts alone, not on partitions. The driver gets a
+    model's size, no more.
+    """
+    counts = id_counts(rows)
+    of, share = class_table(counts)
+    inner = inner_table(pair_counts(rows, of), of, share)
+    shards = max(1, -(-int(counts.sum()) // shard_ids))
+    model = init()
+    names = sorted(model)
+    dealt = rows.select("mark", "ids").withColumn("part", F.pmod(F.xxhash64("mark", F.lit(1)), F.lit(shards)))
+    for turn in range(rounds):
+        start = model
+
+        def run(group: pa.Table, start=start) -> pa.Table:
+            adam, n = Adam(start), 0
+            for batch in small_batches(group.sort_by([("mark", "ascending"), ("ids", "ascending")]).to_batches(), 256):
+                ids, goals, weight, _ = windows([np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()], 0)
+                adam.learn(ids, of[goals], weight)
+                n += len(ids)
             flat = np.concatenate([[1.0], *(adam.model[k].ravel() for k in names)]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())], names=["part", "vector"])
-
-    mean = _sum_vectors(rows.select("ids").mapInArrow(run, "part int, vector binary"))
-    model = start
-    if mean is not None:
-        mean, at, model = mean[1:] / mean[0], 0, {}
-        for k in names:
-            model[k] = mean[at : at + start[k].size].reshape(start[k].shape).astype(np.float32)
-            at += start[k].size
+            return pa.table({"part": group.column("part")[:1], "vector": pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())})
+
+        some = dealt.where(F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(rounds)) == turn)
+        mean = _sum_vectors(some.groupBy("part").applyInArrow(lambda group: run(group), "part long, vector binary"))
+        if mean is not None:
+            mean, at, model = mean[1:] / mean[0], 0, {}
+            for k in names:
+                model[k] = mean[at : at + start[k].size].reshape(start[k].shape).astype(np.float32)
+                at += start[k].size
     return {"model": model, "of": of, "inner": inner}
 
 
 def log10_scores(m: dict, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each sequence with its end."""
+    """log10 probability of each sequence with its end: the class by attention, the id in it behind the class before."""
     ids, goals, weight, owner = windows(seqs)
     out = np.zeros(len(seqs))
-    for lo in range(0, len(ids), 128):
-        part = slice(lo, lo + 128)
+    for lo in range(0, len(ids), 64):
+        part = slice(lo, lo + 64)
         z, _ = forward(m["model"], ids[part])
-        p = np.take_along_axis(z, m["of"][goals[part]][..., None], -1)[..., 0] * 0.4342944819032518 + m["inner"][goals[part]]
-        np.add.at(out, owner[part], (p * weight[part]).sum(1, dtype=np.float64))
+        goal = goals[part].ravel()
+        chosen = z[np.arange(len(z)), m["of"][goal]] - np.log(np.exp(z, out=z).sum(-1))
+        p = chosen * np.float32(0.4342944819032518) + m["inner"][m["of"][ids[part].ravel()], goal]
+        np.add.at(out, owner[part], (p.reshape(-1, WINDOW) * weight[part]).sum(1, dtype=np.float64))
     return out
 
 
@@ -268,8 +319,9 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
-    base = settle(cut(docs.select("doc_id", "text", held_out().alias("held_out")), path), "texts")
-    train = base.where("not held_out").select("text", "ids")
+    mark = F.xxhash64(F.col("doc_id").cast("string"), "text").alias("mark")
+    base = settle(cut(docs.select("doc_id", "text", held_out().alias("held_out"), mark), path), "texts")
+    train = base.where("not held_out").select("text", "mark", "ids")
     counts = settle(word_counts(train), "words")
     ends = train.count()
     total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()

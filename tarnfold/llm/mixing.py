@@ -81,14 +81,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each as many times as it takes it, with the columns of `docs`.
 
     doc_id must be unique; should it not be, rows of one doc_id get the copies of that doc_id together, shared out by
-    the order of their texts' hashes.
+    the order of their texts' hashes. Other columns may have any name.
     """
     salt = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source")))
-    taken = systematic_mix(docs, **options).select(F.col("doc_id").alias("_id"), "copies")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("copies")))).where("copies > 0")
-    left = docs.withColumn("_n", salt)
-    joined = left.join(taken, left["doc_id"].eqNullSafe(taken["_id"]) & (left["_n"] == taken["_n"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[left[c] for c in docs.columns])
+    taken = systematic_mix(docs.select("doc_id", "text", "source"), **options).select(F.col("doc_id").alias("_id"), "copies")
+    taken = taken.withColumn("_m", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("copies")))).where("copies > 0")
+    left = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", salt.alias("_n"))
+    joined = left.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,14 +82,16 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     in each shard, in order of a hash.
 
     A null group is a group like another. Repeated rows are separate documents with slots of their own; an empty
-    table gives no rows. A group larger than a shard is cut. `docs` may not have columns shard, slot, place, mark.
+    table gives no rows. A group larger than a shard is cut. Columns shard and slot are replaced if `docs` has them;
+    others stay, whatever their names.
     """
     spark = docs.sparkSession
-    base = docs.withColumn("place", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("doc_id", "group"))
+    row = F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("_row")
+    base = docs.select(row, "doc_id", "group", "size", F.monotonically_increasing_id().alias("place"), F.xxhash64("doc_id", "group").alias("mark"))
     base = settle(base, "shards")
     total = base.agg(F.sum("size")).first()[0]
     if total is None:
-        return base.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).drop("place", "mark")
+        return base.select("_row.*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     fair = total / shards
     group = F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit("")).alias("group")
     grouped = base.select("place", group, "size", "mark")
@@ -112,7 +114,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         sharded = settle(sharded.unionByName(_filled(some, [share * x for x in room])), "sharded")
     rows = base.join(sharded, "place").withColumn("_range", _ranges(F.col("mark"), F.xxhash64("mark")))
     rows = _running(rows.withColumn("_one", F.lit(1).cast("long")), ["shard"], "_one")
-    return rows.select(*docs.columns, "shard", F.col("_before").cast("long").alias("slot"))
+    return rows.select("_row.*", "shard", F.col("_before").cast("long").alias("slot"))
 
 
 def op8_shard_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:

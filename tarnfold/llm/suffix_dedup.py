@@ -1,4 +1,10 @@
-"""Removing repeated byte strings: prefix-free parsing with sorted suffixes around its triggers."""
+"""Removing repeated byte strings: the triggers of prefix-free parsing, and the corpus's suffixes sorted around them.
+
+Adapted: neither a dictionary of all phrases nor a suffix array of the whole parse is made, as both need the phrases of
+all texts joined and sorted globally, several times the input in shuffles. A repeated string of LENGTH bytes has a
+trigger at one place wherever it stands, so the corpus order is needed only among suffixes that share a trigger, which
+are dealt to buckets by it.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import forget, mix64, powers, settle, small_batches
+from tarnfold.llm.common import forget, free_names, mix64, powers, settle, small_batches
 from tarnfold.tables import table
 
 #: Bytes of a repeated string, of a trigger, and places for a trigger in such a string.
@@ -174,9 +180,10 @@ def covered(doc: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.nd
     """For each trigger the span, relative to it, that strings around it cover which stand in a smaller document too.
 
     `context` has PLACES - 1 bytes before a trigger and LENGTH bytes from it on; `left` and `right` say how many are of
-    the text. Suffixes from the trigger on, in sorted order, are the parse's suffix array here; what stands before,
-    read backwards, is that of the phrases. Cut by common prefixes, the two orders give numbers to the parts of a
-    string before and after its trigger, and equal pairs of numbers are equal strings. Empty spans begin at 0 and end at 0.
+    the text. Only a bucket's part of the corpus order is made: the suffixes that begin at its triggers, so at phrase
+    boundaries, are sorted as far as LENGTH bytes, with common prefixes, and what stands before them, read backwards,
+    likewise. Cut by common prefixes, the two orders give numbers to the parts of a string before and after its
+    trigger, and equal pairs of numbers are equal strings. Empty spans begin at 0 and end at 0.
     """
     n = len(doc)
     lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -305,18 +312,20 @@ def without_repeats(docs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     What is left of a text is decoded again; a cut may fall into a character, whose rest then becomes a replacement
     character in the text, while the digest is of the bytes themselves. A null text is empty; so are texts without
     words. Of rows with one doc_id none is smaller than another, so equal rows keep their texts alike. A null doc_id
-    is never cut. Other columns stay; n_bytes, n_removed, n_spans and kept_sha256 are replaced if `docs` has them.
+    is never cut. Other columns stay, whatever their names; n_bytes, n_removed, n_spans and kept_sha256 are replaced if `docs`
+    has them.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    spans = settle(spans_to_remove(docs, task_rows), "cuts").select(F.col("doc_id").alias("_id"), "starts", "ends", "copy")
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
     names = docs.columns
+    key, *extra = free_names(names, "_id", "starts", "ends", "copy")
+    spans = settle(spans_to_remove(docs.select("doc_id", "text"), task_rows), "cuts").toDF(key, *extra)
+    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col(key), "left").drop(key)
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows = []
-            for text, starts, ends, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "copy")), strict=True):
+            for text, starts, ends, copy in zip(*(batch.column(c).to_pylist() for c in ("text", *extra)), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 spans = _union(starts, ends)
                 if copy and len(data) >= LENGTH:
@@ -327,13 +336,13 @@ def without_repeats(docs: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             own = [batch.column(c) for c in names]
             own[at] = pa.array(cols[0], pa.string())
-            extra = [pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*own, *extra], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            found = [pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, *found], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    extra = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())]
-    return joined.mapInArrow(cut, StructType([*docs.schema.fields, *extra]))
+    more = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())]
+    return joined.mapInArrow(cut, StructType([*docs.schema.fields, *more]))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,19 +250,70 @@ def test_scores(docs):
     assert lm_scoring.scored(docs.limit(0)).count() == 0
 
 
-def test_model_learns_and_is_causal():
+def direct_score(lm, seq):
+    """One position after the other, one head in plain loops: the score of a sequence with its end."""
+    m, full, total = lm["model"], [lm_scoring.BEGIN, *seq, lm_scoring.END], 0.0
+    stride, size = lm_scoring.WINDOW - lm_scoring.OVERLAP, lm_scoring.WINDOW
+    for at in range(len(full) - 1):
+        k = 0 if at < size else (at - size) // stride + 1
+        window = full[k * stride : at + 1]
+        x = [m["e"][i % lm_scoring.EMBEDDED].astype(float) + m["p"][j] for j, i in enumerate(window)]
+        q = x[-1] @ m["q"]
+        weights = np.exp([q @ (y @ m["k"]) / math.sqrt(lm_scoring.WIDTH) for y in x])
+        h = sum(w * (y @ m["v"]) for w, y in zip(weights / weights.sum(), x, strict=True))
+        z = (h @ m["o"] + x[-1]) @ m["u"] + m["b"]
+        c, goal = lm["of"][full[at + 1]], full[at + 1]
+        total += (z[c] - math.log(np.exp(z).sum())) / math.log(10) + lm["inner"][lm["of"][full[at]], goal]
+    return total
+
+
+def test_model_learns_is_causal_and_scores_as_a_direct_loop(spark):
     rng = np.random.default_rng(3)
-    seqs = [np.tile([5, 900, 40, 7], 20)[: int(rng.integers(3, 80))] for _ in range(300)]
-    of, inner = lm_scoring.class_table(np.bincount(np.concatenate(seqs), minlength=lm_scoring.VOCABULARY).astype(float))
-    ids, goals, weight, owner = lm_scoring.windows(seqs)
-    assert weight.sum() == sum(len(s) + 1 for s in seqs)
+    seqs = [np.tile([5, 900, 40, 7], 30)[: int(rng.integers(3, 110))] for _ in range(300)]
+    counts = np.bincount(np.concatenate(seqs), minlength=lm_scoring.VOCABULARY).astype(float)
+    of, share = lm_scoring.class_table(counts)
+    inner = lm_scoring.inner_table(np.zeros((lm_scoring.CLASSES, lm_scoring.VOCABULARY)), of, share)
+    assert all(np.allclose(np.bincount(of, 10.0 ** inner[c], lm_scoring.CLASSES)[np.unique(of)], 1, atol=1e-3) for c in (0, 5))
+    for overlap in (0, lm_scoring.OVERLAP):
+        ids, goals, weight, owner = lm_scoring.windows(seqs, overlap)
+        assert weight.sum() == sum(len(s) + 1 for s in seqs)
     start = lm_scoring.init()
-    model = lm_scoring.trained(start, ids, of[goals], weight)
-    score = lambda m: lm_scoring.log10_scores({"model": m, "of": of, "inner": inner}, seqs).sum()
-    assert score(model) > 0.7 * score(start)
+    adam = lm_scoring.Adam(start)
+    for _ in range(8):
+        adam.learn(ids, of[goals], weight)
+    lm = lambda m: {"model": m, "of": of, "inner": inner}
+    assert lm_scoring.log10_scores(lm(adam.model), seqs).sum() > 0.7 * lm_scoring.log10_scores(lm(start), seqs).sum()
+    some = [*seqs[:6], np.zeros(0, np.int64), rng.integers(0, 50000, 90)]
+    assert np.allclose(lm_scoring.log10_scores(lm(adam.model), some), [direct_score(lm(adam.model), s) for s in some], rtol=1e-4)
     a, b = ids[:1].copy(), ids[:1].copy()
     b[0, 20:] = 17
-    assert np.allclose(lm_scoring.forward(model, a)[0][0, :20], lm_scoring.forward(model, b)[0][0, :20], atol=1e-5)
+    assert np.allclose(lm_scoring.forward(adam.model, a)[0][:20], lm_scoring.forward(adam.model, b)[0][:20], atol=1e-5)
+
+
+def test_gradients_are_slopes():
+    rng = np.random.default_rng(4)
+    m = {k: v.astype(np.float64) for k, v in lm_scoring.init().items()}
+    ids, goals = rng.integers(0, 5000, (2, lm_scoring.WINDOW)), rng.integers(0, lm_scoring.CLASSES, (2, lm_scoring.WINDOW))
+    weight = (rng.random(ids.shape) < 0.7).astype(np.float32)
+
+    def loss(x):
+        z = lm_scoring.forward(x, ids)[0]
+        return -((z[np.arange(len(z)), goals.ravel()] - np.log(np.exp(z).sum(1))) * weight.ravel()).sum() / weight.sum()
+
+    g = lm_scoring.gradients(m, ids, goals, weight)
+    for name, at in (("u", (3, 5)), ("b", 7), ("o", (1, 2)), ("q", (4, 4)), ("k", (2, 9)), ("v", (8, 1)), ("p", (6, 3)), ("e", (int(ids[0, 3]) % lm_scoring.EMBEDDED, 2))):
+        up, down = ({k: v.copy() for k, v in m.items()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-5), name
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, int(rng.integers(1, 60))))) for i in range(200)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    scores = [{r.doc_id: r.score for r in lm_scoring.scored(rows.repartition(n)).collect()} for n in (1, 7)]
+    assert all(scores[0][i] == pytest.approx(scores[1][i], rel=1e-6) for i in scores[0])
 
 
 def test_mixing(docs):
