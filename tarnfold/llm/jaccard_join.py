@@ -38,8 +38,8 @@ def profiles(docs: DataFrame) -> DataFrame:
     """One pass over all texts: rows (doc_id, n, node, more, bitmap, brief), and the sketch's rows (block, part, counts).
 
     `node` and `more` are the fingerprint of the shingle set, null if it is empty; `brief` is the bitmap folded to
-    BRIEF bytes. The sketch counts, over all sets that a task meets, the shingles in each cell; a task emits it once,
-    in blocks, with a null doc_id.
+    BRIEF bytes. The sketch counts, over all sets that a task meets, those with a shingle in each cell; a task emits
+    it once, in blocks, with a null doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for s, node in zip(sets, nodes, strict=True):
                 if node is not None and node not in seen:
                     seen.add(node)
-                    np.add.at(counts, (s >> np.uint64(64 - BITS)).astype(np.int64), 1)
+                    counts[(s >> np.uint64(64 - BITS)).astype(np.int64)] += 1
             none = [None] * len(sets)
             yield rows(batch.column("doc_id").cast(pa.int64()), [len(s) for s in sets], nodes, [parity_bits(s) if len(s) else None for s in sets], none, none, none)
         if seen:

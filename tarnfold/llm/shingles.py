@@ -70,7 +70,8 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
             at = 0
             for n in counts.tolist():
                 if n >= words:
-                    out.append(np.unique(rolled[at : at + n - words + 1]))
+                    some = np.sort(rolled[at : at + n - words + 1])
+                    out.append(some[np.concatenate([[True], some[1:] != some[:-1]])])
                 elif n:
                     out.append(mix64((h[at : at + n] * factors[1 : n + 1]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
                 else:
@@ -93,7 +94,8 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def set_id(h: np.ndarray) -> tuple[int, int]:
     """A fingerprint of a set of hashes, whatever their order, as two signed 64-bit numbers."""
     with np.errstate(over="ignore"):
-        sums = [mix64(h ^ np.uint64(x)).sum(dtype=np.uint64) for x in (0x632BE59BD9B4E019, 0x1B56C4E9D3C2A7F5)]
+        mixed = mix64(h ^ np.uint64(0x632BE59BD9B4E019))
+        sums = [mixed.sum(dtype=np.uint64), (mixed * mixed).sum(dtype=np.uint64)]
         one, two = mix64(np.array(sums, np.uint64) + np.uint64(len(h))).view(np.int64).tolist()
     return one, two
 
