@@ -226,6 +226,23 @@ def test_quality(docs):
     assert got[6][0].kept and quality.judged(docs.limit(0)).count() == 0
 
 
+def test_rules_stand_by_measured_rejection_per_cost(spark):
+    rows = spark.createDataFrame([(i, f"{i} " * 200) for i in range(2000)], "doc_id long, text string")
+    heavy = F.length(F.regexp_replace(F.concat(*[F.reverse(F.col("text"))] * 40), "(a|b|1)+x?", "")) >= 0
+    rules = [quality.Rule("heavy", heavy & (F.col("doc_id") % 2 == 0)), quality.Rule("light", F.col("doc_id") % 2 == 1), quality.Rule("none", F.col("doc_id") < 0)]
+    worth = quality.worth_of(quality.sampled(rows, 500), rules)
+    assert [r.name for r in quality.ordered_rules(rules, worth)] == ["light", "heavy", "none"] and worth["none"] == 0
+    assert quality.ordered_rules(rules, {"heavy": 1.0, "light": 1.0, "none": 2.0})[0].name == "none"
+    sample = quality.sampled(rows, 500).count()
+    assert 300 <= sample <= 500 and quality.sampled(rows, 10**6).count() == 2000
+    kept = lambda worth: {r.doc_id for r in rows.where(quality.cascade(rules, worth)).collect()}
+    assert kept(worth) == kept({"heavy": 3.0, "light": 2.0, "none": 1.0}) == set()
+    # The first rule that rejects ends the evaluation: a later one would raise.
+    fatal = quality.Rule("fatal", F.raise_error(F.lit("evaluated")).cast("boolean"))
+    always = quality.Rule("always", F.col("doc_id") >= 0)
+    assert rows.where(quality.cascade([fatal, always], {"fatal": 0.0, "always": 1.0})).count() == 0
+
+
 def test_sharding(docs):
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.md5("text").alias("group"))
     many = rows.unionAll(rows.withColumn("doc_id", F.col("doc_id") + 100).withColumn("group", F.lit("hot")).where("size < 100"))
@@ -234,9 +251,25 @@ def test_sharding(docs):
     for s in range(4):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
+    assert sharding.balanced_shards(many.withColumns({"place": F.lit(1), "Slot": F.lit(2), "mark": F.lit(3), "_before": F.lit(4)}), shards=4).count() == len(got)
     assert sharding.balanced_shards(rows.limit(0)).count() == 0
 
 
+def test_shards_are_even_and_keep_copies_together(spark):
+    """Balance and cut links against shards by hash alone."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(20, 400)), f"g{i // 6}" if i < 600 else f"one{i}") for i in range(3000)]
+    rows += [(5000 + i, 50, None) for i in range(40)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, size long, group string"), shards=8).collect()
+    load, where = Counter(), {}
+    for r in got:
+        load[r.shard] += r.size
+        where.setdefault(r.group, Counter())[r.shard] += 1
+    assert len(got) == len(rows) and max(load.values()) - min(load.values()) <= 400 and len(load) == 8
+    cut = sum(sum(c.values()) - max(c.values()) for g, c in where.items() if g is None or g.startswith("g"))
+    assert cut < 0.1 * 640 and len(where[None]) == 1
+
+
 def test_scores(docs):
     got = by_id(lm_scoring.scored(docs, head=50))
     words = lambda t: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), None]
