@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,7 +309,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Base counts are of all words of all training texts, by 64-bit hashes. The `head` most frequent words are
+    Base counts are of all words of all training texts, by 64-bit hashes. The most frequent words, at most `head`, are
     broadcast; what a text has of the others goes through one join. The model's score is of the text's whole
     sequence of ids in overlapping windows, each position scored once.
 
@@ -326,7 +326,10 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
     ends = train.count()
     total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
+    # The words of the largest counts that are no more than `head` together; a row a count is ordered, never all words.
+    kinds = counts.groupBy("c").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("c"))))
+    edge = kinds.where(F.col("upto") <= head).agg(F.min("c")).first()[0]
+    top = counts.where(F.lit(False) if edge is None else F.col("c") >= edge).toPandas()
     hashes = top["h"].to_numpy(np.int64)
     order = np.argsort(hashes)
     shared = spark.sparkContext.broadcast({"h": hashes[order], "c": top["c"].to_numpy(np.int64)[order], "lm": model_of(train)})
