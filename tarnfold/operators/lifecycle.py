@@ -79,18 +79,18 @@ def active_series(intervals: DataFrame, start: str, end: str, cap: bool = False)
 
 
 def merged_intervals(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """An entity's intervals of days, those that overlap or touch made one: (entity, s, e)."""
-    rows = intervals.select(entity, F.to_date(start).alias("s"), F.to_date(end).alias("e")).where("e >= s")
-    w = Window.partitionBy(entity).orderBy("s", "e")
-    rows = rows.withColumn("_to", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_no", F.count_if(F.col("_to").isNull() | (F.col("s") > F.date_add("_to", 1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(entity, "_no").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_no")
+    """An entity's intervals of days, those that overlap or touch made one: (entity, _s, _e)."""
+    rows = intervals.select(entity, F.to_date(start).alias("_s"), F.to_date(end).alias("_e")).where("_e >= _s")
+    w = Window.partitionBy(entity).orderBy("_s", "_e")
+    rows = rows.withColumn("_to", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_no", F.count_if(F.col("_to").isNull() | (F.col("_s") > F.date_add("_to", 1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(entity, "_no").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_no")
 
 
 def daily_actives(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """Per day with any the intervals and the distinct entities that are active, by two sweeps, without a panel."""
     rows = active_series(intervals, start, end).select("day", F.col("active").alias("rows"))
-    one = active_series(merged_intervals(intervals, entity, start, end), "s", "e").select("day", F.col("active").alias("entities"))
+    one = active_series(merged_intervals(intervals, entity, start, end), "_s", "_e").select("day", F.col("active").alias("entities"))
     return rows.join(one, "day").where("rows > 0")
 
 
