@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import forget, free_names, mix64, powers, settle, small_batches
+from tarnfold.llm.common import byte_batches, forget, free_names, mix64, powers, settle, small_batches
 from tarnfold.tables import table
 
 #: Bytes of a repeated string, of a trigger, and places for a trigger in such a string.
 LENGTH, TRIGGER = 50, 16
 PLACES = LENGTH - TRIGGER + 1
 #: Bits of a place in a block, places handled at once, and triggers that a task sorts about.
-PLACE_BITS, BLOCK, TASK_ROWS = 22, 1 << 21, 400_000
+PLACE_BITS, BLOCK, TASK_ROWS = 22, 1 << 19, 400_000
+#: Bytes of texts that a task handles at once; a longer text is handled alone.
+BATCH_BYTES = 20 << 20
 _BYTES = mix64(np.arange(301, 557, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -127,7 +129,7 @@ def repeated_triggers(texts: DataFrame, buckets: int) -> DataFrame:
     gathered = max(4, buckets // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_batches(batches, "data", BATCH_BYTES):
             tids = np.array(batch.column("tid").to_pylist(), np.int64)
             pick = np.sort(np.unique(tids, return_index=True)[1])
             batch, tids = batch.take(pa.array(pick)), tids[pick]
@@ -226,7 +228,7 @@ def repeated_spans(texts: DataFrame, buckets: int) -> DataFrame:
     width, gathered = PLACES - 1 + LENGTH, max(4, buckets // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2000):
+        for batch in byte_batches(batches, "data", BATCH_BYTES // 2):
             docs = np.array(batch.column("doc_id").to_pylist(), np.int64)
             data, starts, ends = _texts(batch.column("data"))
             places = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])) for lists in batch.column("places").to_pylist()]
