@@ -25,7 +25,7 @@ PLACES = LENGTH - TRIGGER + 1
 #: Bits of a place in a block, places handled at once, and triggers that a task sorts about.
 PLACE_BITS, BLOCK, TASK_ROWS = 22, 1 << 19, 400_000
 #: Bytes of texts that a task handles at once; a longer text is handled alone.
-BATCH_BYTES = 20 << 20
+BATCH_BYTES = 10 << 20
 _BYTES = mix64(np.arange(301, 557, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
