@@ -20,7 +20,7 @@ from tarnfold.tables import table
 #: that are only context of the others.
 WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 16, 64, 4096, 32, 8
 #: Windows of a step; the first id of a text and the end; how many ids there are.
-STEP, BEGIN, END, VOCABULARY = 64, 50256, 2, 50257
+STEP, BEGIN, END, VOCABULARY = 128, 50256, 2, 50257
 #: Ids of a logical shard about, rounds in which shards train from the mean of the round before, and weight of an id's
 #: share of its class against what followed the class before it.
 SHARD_IDS, ROUNDS, PRIOR = 8 << 20, 3, 50.0
@@ -44,56 +44,71 @@ def init(seed: int = 7) -> dict[str, np.ndarray]:
     return model | {"b": np.zeros(CLASSES, np.float32)}
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+#: What a position may look at, and the bound of logits: they are cut to it, so that no exponential overflows and no
+#: largest logit has to be found.
+_MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_BOUND = np.float32(60.0)
+_ONES = np.ones((max(WINDOW, CLASSES), 1), np.float32)
 
 
 def forward(m: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Scores of the next id's class at each position of windows (n, WINDOW), a row a position, the largest 0: one masked
-    attention and a residual, whose softmax is the class's probability."""
+    """Scores of the next id's class at each position of windows (n, WINDOW), a row a position: one masked attention and
+    a residual, whose softmax is the class's probability."""
     n = len(ids)
-    x = (m["e"][ids % EMBEDDED] + m["p"]).reshape(-1, WIDTH)
-    qkv = (x @ np.concatenate([m["q"], m["k"], m["v"]], axis=1)).reshape(n, WINDOW, 3 * WIDTH)
+    x = m["e"].take(ids % EMBEDDED, axis=0)
+    x += m["p"]
+    x = x.reshape(-1, WIDTH)
+    qkv = (x @ np.concatenate([m["q"] * np.float32(WIDTH**-0.5), m["k"], m["v"]], axis=1)).reshape(n, WINDOW, 3 * WIDTH)
     q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += _MASK
-    s -= s.max(-1, keepdims=True)
+    np.clip(s, -_BOUND, _BOUND, out=s)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    s *= _MASK
+    s /= s @ _ONES[:WINDOW]
     h = (s @ v).reshape(-1, WIDTH)
-    y = h @ m["o"] + x
+    y = h @ m["o"]
+    y += x
     z = y @ m["u"]
     z += m["b"]
-    z -= z.max(-1, keepdims=True)
+    np.clip(z, -_BOUND, _BOUND, out=z)
     return z, (x, q, k, v, s, h, y)
 
 
 def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log-likelihood over positions of weight 1."""
+    """Gradients of the mean negative log-likelihood over positions of weight 1, within the bound of logits."""
     n = len(ids)
     z, (x, q, k, v, s, h, y) = forward(m, ids)
     d = np.exp(z, out=z)
-    share = weight.ravel() / np.float32(max(1.0, float(weight.sum())))
-    d *= (share / d.sum(-1))[:, None]
-    d[np.arange(len(d)), goals.ravel()] -= share
-    g = {"u": y.T @ d, "b": d.sum(0)}
+    total = (d @ _ONES[:CLASSES]).ravel()
+    d[np.arange(len(d)), goals.ravel()] -= total
+    share = (weight.ravel() / total / np.float32(max(1.0, float(weight.sum()))))[:, None]
+    scaled = y * share
+    g = {"u": scaled.T @ d, "b": share[:, 0] @ d}
     dx = d @ m["u"].T
+    dx *= share
     g["o"] = h.T @ dx
     dh = (dx @ m["o"].T).reshape(n, WINDOW, WIDTH)
     ds, dv = dh @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dh
-    ds -= (ds * s).sum(-1, keepdims=True)
+    ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
     ds *= s
-    ds *= np.float32(WIDTH**-0.5)
-    dz = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * WIDTH)
+    small = np.float32(WIDTH**-0.5)
+    dz = np.empty((n, WINDOW, 3 * WIDTH), x.dtype)
+    dz[..., :WIDTH] = ds @ k
+    dz[..., :WIDTH] *= small
+    dz[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+    dz[..., 2 * WIDTH :] = dv
+    dz = dz.reshape(-1, 3 * WIDTH)
     g["q"], g["k"], g["v"] = np.split(x.T @ dz, 3, axis=1)
     dx += dz @ np.concatenate([m["q"], m["k"], m["v"]], axis=1).T
     g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
-    rows = (ids % EMBEDDED).ravel()
+    rows = (ids % EMBEDDED).astype(np.int16).ravel()
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    last = np.flatnonzero(np.concatenate([rows[1:] != rows[:-1], [True]]))
+    upto = np.cumsum(dx.take(order, axis=0), axis=0).take(last, axis=0)
+    upto[1:] = np.diff(upto, axis=0)
     g["e"] = np.zeros_like(m["e"])
-    g["e"][rows[first]] = np.add.reduceat(dx[order], first, axis=0)
+    g["e"][rows[last]] = upto
     return g
 
 
@@ -135,16 +150,23 @@ def windows(seqs: list[np.ndarray], overlap: int = OVERLAP) -> tuple[np.ndarray,
     """Windows of sequences that overlap by `overlap`: ids, next ids, 1 where a position is scored (once in all windows), and whose it is."""
     stride = WINDOW - overlap
     lengths = np.array([len(s) + 1 for s in seqs], np.int64)
-    full = np.concatenate([part for s in seqs for part in ((BEGIN,), s, (END,))]) if seqs else np.zeros(0, np.int64)
-    offset = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if seqs else lengths
+    edge = np.array([END, BEGIN], np.int32)
+    full = np.concatenate([edge[1:], *(part for s in seqs for part in (s, edge))], dtype=np.int32)
+    offset = np.cumsum(lengths + 1) - lengths - 1
     count = np.maximum(1, -(-(lengths - overlap) // stride))
     owner = np.repeat(np.arange(len(seqs)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    place = nth[:, None] * stride + np.arange(WINDOW)
-    real = place < lengths[owner][:, None]
-    at = np.where(real, offset[owner][:, None] + place, 0)
-    weight = (real & ((nth[:, None] == 0) | (np.arange(WINDOW) >= overlap))).astype(np.float32)
-    return full[at], full[np.where(real, at + 1, 0)], weight, owner
+    start = nth * stride
+    left = np.minimum(lengths[owner] - start, WINDOW)
+    place = np.arange(WINDOW)
+    real = place < left[:, None]
+    at = (offset[owner] + start)[:, None] + place
+    at *= real
+    weight = real.astype(np.float32)
+    weight[nth > 0, :overlap] = 0
+    ids = full.take(at)
+    at += real
+    return ids, full.take(at), weight, owner
 
 
 def class_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +309,7 @@ def log10_scores(m: dict, seqs: list[np.ndarray]) -> np.ndarray:
         part = slice(lo, lo + 64)
         z, _ = forward(m["model"], ids[part])
         goal = goals[part].ravel()
-        chosen = z[np.arange(len(z)), m["of"][goal]] - np.log(np.exp(z, out=z).sum(-1))
+        chosen = z[np.arange(len(z)), m["of"][goal]] - np.log((np.exp(z, out=z) @ _ONES[:CLASSES]).ravel())
         p = chosen * np.float32(0.4342944819032518) + m["inner"][m["of"][ids[part].ravel()], goal]
         np.add.at(out, owner[part], (p.reshape(-1, WINDOW) * weight[part]).sum(1, dtype=np.float64))
     return out
