@@ -1,8 +1,11 @@
-"""Quality gates: named checks that must hold (Q1, Q2, Q5, Q6, Q8, Q9)."""
+"""Quality gates: named checks that must hold, and runs of stages under them (Q1, Q2, Q5-Q9, Q13)."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -45,3 +48,51 @@ def compare_metrics(now: dict[str, float], then: dict[str, float], expected: set
         same = new is not None and abs(new - old) <= atol + rtol * abs(old)
         out[name] = "MISSING" if new is None else "EQUAL" if same else "EXPECTED_CHANGE" if name in expected else "CHANGED"
     return out
+
+
+def by_stage(catalogue: dict[str, dict[str, str]]) -> Gates:
+    """Q2: the gates of all stages, called stage.name; a name stands once."""
+    return Gates({f"{stage}.{name}": text for stage, gates in catalogue.items() for name, text in gates.items()})
+
+
+def manifest(paths: list[str]) -> dict[str, str]:
+    """Q9: SHA-256 of files of the driver, read in blocks; a path without a file is missing."""
+    out = {}
+    for path in sorted(paths):
+        if not Path(path).is_file():
+            out[path] = "missing"
+            continue
+        with open(path, "rb") as f:
+            out[path] = hashlib.file_digest(f, "sha256").hexdigest()
+    return out
+
+
+def changed(before: dict[str, str], after: dict[str, str]) -> list[str]:
+    """Q9: paths whose digests differ or that one side lacks."""
+    return sorted(p for p in before.keys() | after.keys() if before.get(p) != after.get(p))
+
+
+def run_stages(stages: list[tuple[str, Callable[[Gates], None]]], gates: Gates, first: str | None = None, last: str | None = None) -> dict[str, str]:
+    """Q13: stages from `first` to `last` in order, each clearing its old gate records; a failure stops the run.
+
+    Returns DONE, FAILED, SKIPPED (outside the range) or NOT_RUN (behind a failure) by stage. Unknown names are an error.
+    """
+    names = [n for n, _ in stages]
+    lo, hi = names.index(first) if first else 0, names.index(last) if last else len(names) - 1
+    if lo > hi:
+        raise ValueError(f"{first} is behind {last}")
+    out, broken = {}, False
+    for i, (name, stage) in enumerate(stages):
+        if not lo <= i <= hi:
+            out[name] = "SKIPPED"
+            continue
+        if broken:
+            out[name] = "NOT_RUN"
+            continue
+        gates.records[:] = [r for r in gates.records if not r["gate"].startswith(f"{name}.")]
+        try:
+            stage(gates)
+            out[name] = "DONE"
+        except AssertionError:
+            out[name], broken = "FAILED", True
+    return out

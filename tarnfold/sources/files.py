@@ -1,9 +1,11 @@
-"""Sources and sinks: databases, verified Parquet, CSV, JSON, list pages."""
+"""Sources and sinks: databases, verified Parquet, CSV, JSON, vectors, records in Markdown, list pages."""
 
 from __future__ import annotations
 
 import html.parser
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,52 @@ def write_checked(rows: DataFrame, path: str, mode: str = "errorifexists") -> in
     return seen.get["n"]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store that its scheme names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_or_export(spark: SparkSession, path: str, export: Callable[[], DataFrame], reuse: bool = True, force: bool = False) -> tuple[DataFrame, str]:
+    """The table at `path` and whether it was reused or exported.
+
+    With `force`, or with neither `reuse` nor a table there, it is exported first; `reuse` without a table is an error.
+    """
+    there = path_exists(spark, path)
+    if force or not (reuse or there):
+        write_checked(export(), path, "overwrite")
+        return read_checked(spark, path), "exported"
+    if not there:
+        raise FileNotFoundError(f"{path} isn't there and no export was asked for")
+    return read_checked(spark, path), "reused"
+
+
+def write_vectors(rows: DataFrame, key: str, vector: str, path: str, about: dict[str, str]) -> dict:
+    """(key, vector) as Parquet and a description beside it; all vectors must have one length."""
+    n = write_checked(rows.select(key, F.col(vector).cast("array<float>").alias("vector")), f"{path}/vectors", "overwrite")
+    spark = rows.sparkSession
+    sizes = [r[0] for r in spark.read.parquet(f"{path}/vectors").where("vector is not null").select(F.size("vector")).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"{path} has vectors of several lengths")
+    meta = {**about, "key": key, "rows": n, "dims": sizes[0] if sizes else 0}
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return meta
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/vectors"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
+def with_section(record: str, title: str, body: str) -> str:
+    """A Markdown record whose section `title` is `body`; doing so twice changes nothing more, others stay as they are."""
+    section = f"## {title}\n\n{body.strip()}\n"
+    found = re.search(rf"^## {re.escape(title)}[ \t]*$.*?(?=^## |\Z)", record, re.M | re.S)
+    if not found:
+        return f"{record.rstrip()}\n\n{section}" if record.strip() else section
+    rest = record[found.end() :]
+    return record[: found.start()] + section + ("\n" + rest if rest else "")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """S9."""
     rows.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
@@ -67,6 +115,16 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, longest: int = 32_00
         rows.select(*[x.alias(c) for x, c in zip(cells, rows.columns, strict=True)]).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """JSON lines by a stated schema; a line that doesn't fit is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_sheets(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables that write_sheets() left."""
+    return {name: read_checked(spark, f"{folder}/{name}") for name in names}
+
+
 class _Links(html.parser.HTMLParser):
     def __init__(self) -> None:
         super().__init__()
