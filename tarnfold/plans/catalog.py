@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import analysis, audits, history, models, postings, samples
+from tarnfold.plans import analysis, audits, diagnostics, history, models, postings, samples
 
-PARTS = [history, analysis, audits, postings, samples, models]
+PARTS = [history, analysis, audits, postings, samples, models, diagnostics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
