@@ -1,10 +1,10 @@
-"""Queries on cell changes, diagnostics, group tables, histories, samples and encoders, with their SQL."""
+"""Queries on cell changes, diagnostics, group tables, histories, samples, encoders and the corpus, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnfold.operators import diagnostics
+from tarnfold.operators import corpus, diagnostics
 from tarnfold.plans.analysis import _SNAP, _snapshots
 from tarnfold.tables import table
 
@@ -101,3 +101,37 @@ def encoded_texts(spark, d):
     k = F.col("p_partkey") % 5
     text = F.when(k > 1, F.concat(F.lit(" "), "p_name")).when(k == 1, F.col("p_name")).otherwise(F.when(F.col("p_partkey") % 10 == 0, "  "))
     return diagnostics.encode_texts(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t", encoder)
+
+
+CORPUS = [
+    "岗位职责：维护 SQL 报表\n任职要求：熟悉 Python\n薪资 150-300元/天 面谈\n更多职位请关注公众号", "<b>加分项：</b>Java，200元/天", "学习 sql\n\n java", None, "  ",
+]
+
+#: What each text is in words, by number, worked out by hand.
+_C = """c as (select p_partkey as id, f.* exclude (k) from part join (values
+  (0, '岗位职责：维护 SQL 报表' || chr(10) || '任职要求：熟悉 Python' || chr(10) || '薪资   面谈', 1, '维护 SQL 报表', '', '完整', 1, 1, 0, 'python|sql', 'data|language', 'a|b', 46, 4),
+  (1, '加分项： Java， ', 1, '', 'Java，200元/天', '部分', 0, 0, 1, 'java', 'language', '', 16, 1), (2, '学习 sql' || chr(10) || chr(10) || 'java', 0, '', '', '未识别', 0, 0, 0, 'java|sql', 'data|language', 'c', 12, 2),
+  (3, '', 0, '', '', '未识别', 0, 0, 0, '', '', '', 0, 0), (4, '', 0, '', '', '未识别', 0, 0, 0, '', '', '', 0, 0))
+  f(k, safe, pay_hits, duty, plus, status, has_duty, has_need, has_plus, skills, groups, tags, n_chars, n_paragraphs) on f.k = p_partkey % 5)"""
+
+
+def _corpus(spark, d):
+    nth = (F.col("p_partkey") % 5 + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), nth)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), pick(CORPUS).alias("text"), pick(["a、b", None, "c；", "", ","]).alias("tags"))
+    return corpus.build_corpus(rows, "text", "tags", {"sql": "data", "java": "language", "python": "language"}, ["关注公众号"])
+
+
+@query(f"with {_C} select * from c")
+def corpus_build(spark, d):
+    """Texts, sections, flags, skills and counts of every row."""
+    lists = [F.array_join(c, "|").alias(n) for c, n in (("skills", "skills"), ("groups", "groups"), ("tag_list", "tags"))]
+    names = {"section_职责": "duty", "section_加分": "plus", "has_职责": "has_duty", "has_要求": "has_need", "has_加分": "has_plus"}
+    return _corpus(spark, d).select("id", "safe", "pay_hits", "status", "n_chars", "n_paragraphs", *lists, *[F.col(a).alias(b) for a, b in names.items()])
+
+
+@query(f"""with {_C} select unnest(['rows', 'empty', 'with_pay', 'with_residue', 'skills', 'has_职责', 'has_要求', 'has_技能', 'has_加分', 'has_福利', 'status_完整', 'status_部分', 'status_未识别']) as measure,
+  unnest([count(*), count(*) filter (safe = ''), count(*) filter (pay_hits > 0), 0, sum(case skills when '' then 0 when 'java' then 1 else 2 end)::bigint, sum(has_duty)::bigint, sum(has_need)::bigint, 0, sum(has_plus)::bigint, 0, count(*) filter (status = '完整'), count(*) filter (status = '部分'), count(*) filter (status = '未识别')]) as n from c""")
+def corpus_report(spark, d):
+    """T19."""
+    return corpus.corpus_report(_corpus(spark, d))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.operators import diagnostics
+from tarnfold.operators import corpus, diagnostics
 
 
 def test_cells_and_columns(spark):
@@ -55,3 +55,13 @@ def test_encoders_are_there_or_say_why_not(spark):
     there = diagnostics.load_encoder(lambda: lambda ts: [[len(t)] for t in ts])
     assert sorted(tuple(r) for r in diagnostics.encode_texts(rows, "k", "t", there).collect()) == [(1, [2.0]), (2, None), (3, None), (4, [1.0])]
     assert diagnostics.encode_texts(rows.limit(0), "k", "t", there).count() == 0
+
+
+def test_a_corpus_loses_pay_and_boilerplate_and_keeps_raw_columns(spark):
+    rows = spark.createDataFrame([(1, "薪资 100~200 元/天\n200元 / 月\n关注我们\n做 java", "x; y"), (2, None, None)], "id long, t string, g string")
+    out = corpus.build_corpus(rows, "t", "g", {"java": "language"}, ["关注"])
+    full, empty = out.orderBy("id").collect()
+    assert (full.t, full.pay_hits, full.residue, full.tag_list, full.groups) == ("薪资 100~200 元/天\n200元 / 月\n关注我们\n做 java", 2, 0, ["x", "y"], ["language"])
+    assert "关注" not in full.semantic and "200" in full.semantic and "200" not in full.safe and full.n_paragraphs == 4
+    assert (empty.clean, empty.safe, empty.skills, empty.status, empty.n_tokens, empty.n_chars) == ("", "", [], "未识别", 0, 0)
+    assert {r.measure: r.n for r in corpus.corpus_report(out.limit(0)).collect()}["rows"] == 0
