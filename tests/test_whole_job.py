@@ -1,9 +1,5 @@
-"""Operators do the whole job: no row caps, samples or lost texts."""
+"""Operators do the whole job: no row caps or lost levels."""
 
-import numpy as np
-
-from tarnfold.llm import html_extract, lm_scoring, sharding
-from tarnfold.llm.packing import default_tokenizer
 from tarnfold.operators import features
 from tarnfold.plans import analysis
 
@@ -15,73 +11,6 @@ def test_ridge_errors_reads_every_row(spark, tmp_path):
     assert sum(r.n for r in got) == 120000 and len(got) == 3
 
 
-def test_lm_learns_from_every_text(spark):
-    path = default_tokenizer()
-    texts = [f"{a} {b}" for a in ("river", "stone", "window", "letter") for b in ("green", "quiet", "seven", "paper")]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    some = [r.text for r in rows.where("pmod(xxhash64(text), 8) <> 0").collect()]
-    assert len(some) > 8
-    lm = lm_scoring.model_of(lm_scoring.cut(rows.where("pmod(xxhash64(text), 8) <> 0"), path))
-    ids = [np.frombuffer(lm_scoring._ids(path).of(line), "<u4") for line in lm_scoring._lines(some)]
-    counts = np.bincount(np.concatenate(ids), minlength=lm_scoring.VOCABULARY).astype(float)
-    counts[lm_scoring.END] += len(some)
-    of, inner = lm_scoring.class_table(counts)
-    assert (lm["of"] == of).all() and np.allclose(lm["inner"], inner)
-    one = spark.createDataFrame([(t,) for t in some[:1]], "text string")
-    assert all(not np.array_equal(lm_scoring.model_of(lm_scoring.cut(x, path))["model"]["b"], lm_scoring.init()["b"]) for x in (rows, one))
-
-
-def extracted(spark, pages, host="http://h.example/"):
-    rows = spark.createDataFrame([(i, f"{host}{i}", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)], "page_id long, url string, html string")
-    return {r.page_id: r.text for r in html_extract.extracted(rows).collect()}
-
-
-def test_html_template_decides_beside_article_elements(spark):
-    fixed = [f"<main><p>We are the best shop in town.</p></main><div id=text><p>Story {i} is a long one about page {i}.</p><p>End {i}</p></div><div id=end>Call us</div>" for i in range(6)]
-    assert extracted(spark, fixed) == {i: f"Story {i} is a long one about page {i}.\n\nEnd {i}" for i in range(6)}
-    beside = [f"<div id=top>Motto of all</div><article><h1>News</h1><p>Body {i}</p></article><div id=rest><p>Second part {i}</p></div><div id=end>Call us</div>" for i in range(6)]
-    assert extracted(spark, beside) == {i: f"News\n\nBody {i}\n\nSecond part {i}" for i in range(6)}
-    # A text of two pages in three is data unless it comes and goes with an element of the template.
-    often = [f"<div id=top>Motto</div><div id=text><p>Story {i} is long.</p>{'<p>As they say.</p>' if i % 3 else '<p>Or not {i}.</p>'}</div>{'<div id=sale><b>Sale</b></div>' if i % 2 else ''}" for i in range(6)]
-    assert all(("As they say." in t) == (i % 3 > 0) and "Sale" not in t and "Motto" not in t for i, t in extracted(spark, often).items())
-
-
-def test_html_classes_are_ordered_and_nested():
-    pages = [html_extract.events_of("<body><ul>" + "<li>Go</li>" * 3 + "</ul><div>" + "<h5>Go on</h5>" * 3 + f"</div><p>Text {i}</p><table>" + "<tr><td>Key</td></tr>" * (i + 1) + "</table></body>") for i in range(4)]
-    tokens = [html_extract.tokens_of(e) for e in pages]
-    template = html_extract.Template(None)
-    number = lambda *path: (html_extract._slot(path), 0)
-    one, two = number("body", "ul", "li"), number("body", "div", "h5")
-    template.classes = [[one, two], [number("body", "table", "tr"), number("body", "table", "tr", "td")]]
-    template.of = {t: i for i, c in enumerate(template.classes) for t in c}
-    assert all(template.fixed(t) == set(template.classes[1]) for t in tokens)
-
-
-def test_html_keeps_every_slot_of_a_split_body(spark):
-    split = [f"<div id=top>Site name</div><div id=text>Lead {i}<section id=intro><p>Intro {i}</p></section><section id=methods><p>Methods of page {i}, a longer text.</p></section></div><div class=rest>Rest {i}</div><div id=end>Call us</div>" for i in range(5)]
-    want = {i: f"Lead {i}\n\nIntro {i}\n\nMethods of page {i}, a longer text.\n\nRest {i}" for i in range(5)}
-    assert extracted(spark, split) == want
-    assert extracted(spark, [f"<div class=lead>Lead {i}</div><div class=rest>The rest {i}</div>" for i in range(2)]) == {i: f"Lead {i}\n\nThe rest {i}" for i in range(2)}
-
-
-def test_html_class_words_of_wrappers_keep_the_article(spark):
-    for n in (1, 5):
-        for tag in ("div class='layout has-sidebar'", "div class=no-sidebar", "div class=with-comments", "form action='/x'"):
-            for open_, close in (("<article>", "</article>"), ("<div id=text>", "</div>")):
-                pages = [f"<{tag}>{open_}<p>Story {i} goes on for a good while.</p>{close}<div class=sidebar>Side {i}</div><div class=comments><article>Me too {i}</article></div><form>Your mail {i}</form></{tag.split()[0]}>" for i in range(n)]
-                assert extracted(spark, pages) == {i: f"Story {i} goes on for a good while." for i in range(n)}, (n, tag, open_)
-
-
 def test_assembler_keeps_every_frequent_level(spark):
     rows = spark.range(2200).selectExpr("id", "concat('k', id % 1100) as level")
     assert len(features.Assembler(["id"], ["level"], least=2).fit(rows).levels["level"]) == 1100
-
-
-def test_shards_gather_large_and_null_groups(spark):
-    rows = [(i, "big" if i < 480 else f"g{i}", 10) for i in range(960)] + [(i, None, 10) for i in range(960, 970)]
-    docs = spark.createDataFrame(rows, "doc_id long, group string, size long")
-    got = sharding.balanced_shards(docs).collect()
-    big = [r.shard for r in got if r.group == "big"]
-    assert len(got) == len(rows) and max(big.count(s) for s in set(big)) <= 41
-    assert len(set(big)) <= 14  # 480 of 970 documents need 12 of 24 shards
-    assert len({r.shard for r in got if r.group is None}) == 1
