@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfold.llm.common import forget, settle, small_batches
+from tarnfold.llm.common import byte_batches, forget, settle, small_batches
 from tarnfold.llm.packing import Ids, default_tokenizer
 from tarnfold.llm.shingles import word_hashes
 from tarnfold.tables import table
@@ -19,8 +21,8 @@ from tarnfold.tables import table
 #: Width of the model, classes of ids, rows of the hashed embedding, positions of a window and positions of a window
 #: that are only context of the others.
 WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 16, 64, 4096, 32, 8
-#: Windows of a step; the first id of a text and the end; how many ids there are.
-STEP, BEGIN, END, VOCABULARY = 128, 50256, 2, 50257
+#: Windows of a step and of a block of its arithmetic; the first id of a text and the end; how many ids there are.
+STEP, BLOCK, BEGIN, END, VOCABULARY = 128, 32, 50256, 2, 50257
 #: Ids of a logical shard about, rounds in which shards train from the mean of the round before, and weight of an id's
 #: share of its class against what followed the class before it.
 SHARD_IDS, ROUNDS, PRIOR = 8 << 20, 3, 50.0
@@ -51,64 +53,104 @@ _BOUND = np.float32(60.0)
 _ONES = np.ones((max(WINDOW, CLASSES), 1), np.float32)
 
 
-def forward(m: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Scores of the next id's class at each position of windows (n, WINDOW), a row a position: one masked attention and
-    a residual, whose softmax is the class's probability."""
-    n = len(ids)
-    x = m["e"].take(ids % EMBEDDED, axis=0)
+class Room:
+    """Arrays that are made once and written again by each step; without a room of their own, calls share nothing."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size, have = math.prod(shape), self.kept.get(name)
+        if have is None or have.dtype != kind or have.size < size:
+            have = self.kept[name] = np.empty(size, kind)
+        return have[:size].reshape(shape)
+
+
+def _folded(m: dict[str, np.ndarray]) -> np.ndarray:
+    """With one head, logits need only the product of queries and keys and outputs only that of values and the last
+    matrix: what positions are multiplied by, side by side."""
+    return np.concatenate([m["q"] * np.float32(WIDTH**-0.5) @ m["k"].T, m["v"] @ m["o"]], axis=1)
+
+
+def attended(m: dict[str, np.ndarray], ids: np.ndarray, room: Room, skip: int = 0) -> tuple[np.ndarray, ...]:
+    """One masked attention and a residual at the positions of windows (n, WINDOW) from `skip` on: what led to it and,
+    last, its output, a row a position."""
+    n, kind = len(ids), m["e"].dtype
+    x = m["e"].take(ids % EMBEDDED, axis=0, out=room("x", kind, n, WINDOW, WIDTH), mode="clip")
     x += m["p"]
-    x = x.reshape(-1, WIDTH)
-    qkv = (x @ np.concatenate([m["q"] * np.float32(WIDTH**-0.5), m["k"], m["v"]], axis=1)).reshape(n, WINDOW, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    s = q @ k.transpose(0, 2, 1)
+    qv = np.matmul(x.reshape(-1, WIDTH), _folded(m), out=room("qv", kind, n * WINDOW, 2 * WIDTH)).reshape(n, WINDOW, 2 * WIDTH)
+    q, v = qv[:, skip:, :WIDTH], qv[..., WIDTH:]
+    s = np.matmul(q, x.transpose(0, 2, 1), out=room("s", kind, n, WINDOW - skip, WINDOW))
     np.clip(s, -_BOUND, _BOUND, out=s)
     np.exp(s, out=s)
-    s *= _MASK
+    s *= _MASK[skip:]
     s /= s @ _ONES[:WINDOW]
-    h = (s @ v).reshape(-1, WIDTH)
-    y = h @ m["o"]
-    y += x
-    z = y @ m["u"]
+    h = np.matmul(s, v, out=room("h", kind, n, WINDOW - skip, WIDTH))
+    return x, q, v, s, h, np.add(h, x[:, skip:], out=room("y", kind, *h.shape)).reshape(-1, WIDTH)
+
+
+def class_scores(m: dict[str, np.ndarray], y: np.ndarray, room: Room) -> np.ndarray:
+    """Scores of the next id's class from outputs of the attention."""
+    z = np.matmul(y, m["u"], out=room("z", y.dtype, len(y), CLASSES))
     z += m["b"]
-    np.clip(z, -_BOUND, _BOUND, out=z)
-    return z, (x, q, k, v, s, h, y)
-
-
-def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log-likelihood over positions of weight 1, within the bound of logits."""
-    n = len(ids)
-    z, (x, q, k, v, s, h, y) = forward(m, ids)
-    d = np.exp(z, out=z)
-    total = (d @ _ONES[:CLASSES]).ravel()
-    d[np.arange(len(d)), goals.ravel()] -= total
-    share = (weight.ravel() / total / np.float32(max(1.0, float(weight.sum()))))[:, None]
-    scaled = y * share
-    g = {"u": scaled.T @ d, "b": share[:, 0] @ d}
-    dx = d @ m["u"].T
-    dx *= share
-    g["o"] = h.T @ dx
-    dh = (dx @ m["o"].T).reshape(n, WINDOW, WIDTH)
-    ds, dv = dh @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dh
-    ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
-    ds *= s
-    small = np.float32(WIDTH**-0.5)
-    dz = np.empty((n, WINDOW, 3 * WIDTH), x.dtype)
-    dz[..., :WIDTH] = ds @ k
-    dz[..., :WIDTH] *= small
-    dz[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
-    dz[..., 2 * WIDTH :] = dv
-    dz = dz.reshape(-1, 3 * WIDTH)
-    g["q"], g["k"], g["v"] = np.split(x.T @ dz, 3, axis=1)
-    dx += dz @ np.concatenate([m["q"], m["k"], m["v"]], axis=1).T
-    g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
-    rows = (ids % EMBEDDED).astype(np.int16).ravel()
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    last = np.flatnonzero(np.concatenate([rows[1:] != rows[:-1], [True]]))
-    upto = np.cumsum(dx.take(order, axis=0), axis=0).take(last, axis=0)
+    return np.clip(z, -_BOUND, _BOUND, out=z)
+
+
+def forward(m: dict[str, np.ndarray], ids: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, tuple]:
+    """Scores of the next id's class at each position of windows (n, WINDOW), a row a position: one masked attention and
+    a residual, whose softmax is the class's probability. Both results lie in `room`."""
+    room = room or Room()
+    seen = attended(m, ids, room)
+    return class_scores(m, seen[-1], room), seen
+
+
+def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weight: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean negative log-likelihood over positions of weight 1, within the bound of logits.
+
+    Windows go by blocks that fit the processor's cache, and their gradients are added.
+    """
+    room = room or Room()
+    kind, mean, folded = m["e"].dtype, np.float32(1 / max(1.0, float(weight.sum()))), _folded(m).T
+    back = room("back", kind, ids.size, WIDTH)
+    g: dict[str, np.ndarray] = {}
+    for lo in range(0, len(ids), BLOCK):
+        part = slice(lo, lo + BLOCK)
+        n = len(ids[part])
+        z, (x, q, v, s, h, y) = forward(m, ids[part], room)
+        d = np.exp(z, out=z)
+        total = (d @ _ONES[:CLASSES]).ravel()
+        d.reshape(-1)[np.arange(0, d.size, CLASSES) + goals[part].ravel()] -= total
+        share = (weight[part].ravel() * mean / total).astype(kind, copy=False)[:, None]
+        y *= share
+        got = {"u": y.T @ d, "b": share[:, 0] @ d}
+        dx = np.matmul(d, m["u"].T, out=back[lo * WINDOW : (lo + n) * WINDOW])
+        dx *= share
+        dy = dx.reshape(n, WINDOW, WIDTH)
+        ds = np.matmul(dy, v.transpose(0, 2, 1), out=room("ds", kind, n, WINDOW, WINDOW))
+        ds -= np.einsum("nid,nid->ni", dy, h)[..., None]
+        ds *= s
+        dz = room("dz", kind, n, WINDOW, 2 * WIDTH)
+        np.matmul(ds, x, out=dz[..., :WIDTH])
+        np.matmul(s.transpose(0, 2, 1), dy, out=dz[..., WIDTH:])
+        dz = dz.reshape(-1, 2 * WIDTH)
+        got["folded"] = x.reshape(-1, WIDTH).T @ dz
+        dy += np.matmul(ds.transpose(0, 2, 1), q, out=h)
+        dx += np.matmul(dz, folded, out=y)
+        got["p"] = dy.sum(0)
+        g = {k: g[k] + x for k, x in got.items()} if g else got
+    qk, vo = np.split(g.pop("folded"), 2, axis=1)
+    g["v"], g["o"] = vo @ m["o"].T, m["v"].T @ vo
+    qk = qk * np.float32(WIDTH**-0.5)
+    g["q"], g["k"] = qk @ m["k"], qk.T @ m["q"]
+    at = (ids % EMBEDDED).astype(np.int16).ravel()
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    last = np.flatnonzero(np.concatenate([at[1:] != at[:-1], [True]]))
+    upto = np.cumsum(back.take(order, axis=0), axis=0, out=back).take(last, axis=0)
     upto[1:] = np.diff(upto, axis=0)
-    g["e"] = np.zeros_like(m["e"])
-    g["e"][rows[last]] = upto
+    g["e"] = room("e", kind, *m["e"].shape)
+    g["e"].fill(0)
+    g["e"][at[last]] = upto
     return g
 
 
@@ -121,13 +163,14 @@ class Adam:
         self.ends = np.cumsum([m[k].size for k in self.names])
         self.model = {k: self.flat[end - m[k].size : end].reshape(m[k].shape) for k, end in zip(self.names, self.ends, strict=True)}
         self.one, self.two, self.g, self.by = (np.zeros_like(self.flat) for _ in range(4))
+        self.room = Room()
 
     def learn(self, ids: np.ndarray, goals: np.ndarray, weight: np.ndarray) -> None:
         one, two, g, by = self.one, self.two, self.g, self.by
         for lo in range(0, len(ids), STEP):
             self.step += 1
             part = slice(lo, lo + STEP)
-            got = gradients(self.model, ids[part], goals[part], weight[part])
+            got = gradients(self.model, ids[part], goals[part], weight[part], self.room)
             for k, end in zip(self.names, self.ends, strict=True):
                 g[end - got[k].size : end] = got[k].ravel()
             np.subtract(g, one, out=by)
@@ -217,14 +260,35 @@ def _sum_vectors(rows: DataFrame) -> np.ndarray | None:
     return None
 
 
+def line_ids(cutter: Ids, texts: pa.Array) -> list[bytes]:
+    """The ids of each text's line, two bytes each, as the line as a whole has them.
+
+    A word and the blank before it are cut apart from all others, so each distinct word is cut once. Lines with words
+    that may not be cut apart are cut as a whole.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().dictionary_encode()
+    ids, bounds, apart = cutter.of_words(words.dictionary)
+    nth = words.indices.to_numpy(zero_copy_only=False)
+    sizes = np.diff(bounds)[nth]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.repeat((bounds[nth] - ends[:-1]).astype(np.int32), sizes)
+    place += np.arange(ends[-1], dtype=np.int32)
+    data = ids.astype("<u2").take(place).tobytes()
+    word = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    edges = (2 * ends[word]).tolist()
+    out = [data[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    for row in np.unique(np.searchsorted(word, np.flatnonzero(~apart[nth]), "right") - 1).tolist():
+        out[row] = np.frombuffer(cutter.of(_lines([texts[row].as_py()])[0]), "<u4").astype("<u2").tobytes()
+    return out
+
+
 def cut(docs: DataFrame, path: str) -> DataFrame:
     """`docs` plus ids: the ids of each text, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in small_batches([batch]):
-                ids = [np.frombuffer(_ids(path).of(line), "<u4").astype("<u2").tobytes() for line in _lines(some.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ids, pa.binary())], names=[*some.schema.names, "ids"])
+        for some in byte_batches(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(line_ids(_ids(path), some.column("text")), pa.binary())], names=[*some.schema.names, "ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
@@ -302,16 +366,23 @@ def model_of(rows: DataFrame, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS)
 
 
 def log10_scores(m: dict, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each sequence with its end: the class by attention, the id in it behind the class before."""
+    """log10 probability of each sequence with its end: the class by attention, the id in it behind the class before.
+
+    Positions that are context only, or behind the end, have no score: nothing is made of them but what others look at.
+    """
     ids, goals, weight, owner = windows(seqs)
-    out = np.zeros(len(seqs))
-    for lo in range(0, len(ids), 64):
-        part = slice(lo, lo + 64)
-        z, _ = forward(m["model"], ids[part])
-        goal = goals[part].ravel()
-        chosen = z[np.arange(len(z)), m["of"][goal]] - np.log((np.exp(z, out=z) @ _ONES[:CLASSES]).ravel())
-        p = chosen * np.float32(0.4342944819032518) + m["inner"][m["of"][ids[part].ravel()], goal]
-        np.add.at(out, owner[part], (p.reshape(-1, WINDOW) * weight[part]).sum(1, dtype=np.float64))
+    out, room = np.zeros(len(seqs)), Room()
+    begins = weight[:, 0] > 0
+    for skip, some in ((0, np.flatnonzero(begins)), (OVERLAP, np.flatnonzero(~begins))):
+        for lo in range(0, len(some), 64):
+            part = some[lo : lo + 64]
+            row, place = np.nonzero(weight[part, skip:])
+            y = attended(m["model"], ids[part], room, skip)[-1]
+            z = class_scores(m["model"], y.take(row * (WINDOW - skip) + place, axis=0), room)
+            before, goal = ids[part[row], place + skip], goals[part[row], place + skip]
+            chosen = z[np.arange(len(z)), m["of"][goal]] - np.log((np.exp(z, out=z) @ _ONES[:CLASSES]).ravel())
+            p = chosen * np.float32(0.4342944819032518) + m["inner"][m["of"][before], goal]
+            out += np.bincount(owner[part[row]], p, minlength=len(seqs))
     return out
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ OPEN_BINS, TASK_PIECES = 64, 100_000
 #: The pre-token pattern of byte-level vocabularies, and the bytes that stand for themselves in them; the
 #: others stand for themselves plus 256, in order.
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of any kind, and what some programs take for it.
+_WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
@@ -58,6 +61,7 @@ class Ids:
             if ranks.setdefault(bytes(byte[c] for c in token), len(ranks)) == len(ids):
                 ids.append(model["vocab"][token])
         self.ids, self.added = np.array(ids, "<u4"), added
+        self.sizes = np.array([len(t) for t in ranks], np.int64)
         self.core = tiktoken.Encoding("ranks", pat_str=_PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def of(self, text: str) -> bytes:
@@ -71,6 +75,28 @@ class Ids:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, each with a blank before it, where they begin and end, and which words are apart.
+
+        The pre-token pattern goes over a blank only into white space behind it or from white space before it, so words
+        without white space of any kind and without special tokens are cut alike whatever stands beside them. Others,
+        and empty words, have no ids here; the first are not apart.
+        """
+        if self.core is None or any(t.split() != [t] for t in self.added):
+            return np.zeros(0, "<u4"), np.zeros(len(words) + 1, np.int64), pc.equal(words, "").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(words, _WHITE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(words, token))
+        some = pc.replace_with_mask(words, odd, pa.scalar("", words.type))
+        sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes += sizes > 0
+        some = some.filter(pc.not_equal(some, ""))
+        joined = b"".join([b" ", b" ".join(some.cast(pa.binary()).to_numpy(zero_copy_only=False))]).decode() if len(some) else ""
+        ranks = np.frombuffer(self.core.encode_to_tiktoken_buffer(joined, set()), np.uint32)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ranks])])
+        return self.ids[ranks], np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)])), ~odd.to_numpy(zero_copy_only=False)
+
+
 _IDS: dict[str, Ids] = {}
 
 

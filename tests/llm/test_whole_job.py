@@ -1,9 +1,10 @@
 """Operators do the whole job: no samples, lost texts or unfinished moves."""
 
 import numpy as np
+import pyarrow as pa
 
 from tarnfold.llm import html_extract, lm_scoring, sharding
-from tarnfold.llm.packing import default_tokenizer
+from tarnfold.llm.packing import Ids, default_tokenizer
 
 
 def test_lm_learns_from_every_text(spark):
@@ -26,6 +27,48 @@ def test_lm_learns_from_every_text(spark):
     assert all(not np.array_equal(lm_scoring.model_of(lm_scoring.cut(x, path))["model"]["b"], lm_scoring.init()["b"]) for x in (rows, one))
 
 
+def test_lines_are_cut_by_distinct_words_as_a_whole():
+    cutter, rng = Ids(default_tokenizer()), np.random.default_rng(8)
+    pieces = [*"aZ9'é,\u3000\xa0\x85\x1c\x00\u200b😀", " ", " ", "\n", "\t", "'s", "<|endoftext|>", "River"]
+    texts = [*("".join(rng.choice(pieces, int(rng.integers(0, 25)))) for _ in range(1500)), None, "", "  "]
+    whole = [np.frombuffer(cutter.of(line), "<u4").astype("<u2").tobytes() for line in lm_scoring._lines(texts)]
+    assert lm_scoring.line_ids(cutter, pa.array(texts)) == whole and lm_scoring.line_ids(cutter, pa.array([], pa.string())) == []
+
+    class Counting:
+        seen = 0
+
+        def __init__(self, core):
+            self.core = core
+
+        def encode_to_tiktoken_buffer(self, text, special):
+            self.seen += len(text)
+            return self.core.encode_to_tiktoken_buffer(text, special)
+
+    cutter.core = Counting(cutter.core)
+    lm_scoring.line_ids(cutter, pa.array(["River stone river"] * 50))
+    assert cutter.core.seen == len(" river stone")
+
+
+def test_nothing_is_made_of_positions_without_a_score(monkeypatch):
+    made, real = [], lm_scoring.class_scores
+    monkeypatch.setattr(lm_scoring, "class_scores", lambda m, y, room: (made.append(len(y)), real(m, y, room))[1])
+    of, share = lm_scoring.class_table(np.zeros(lm_scoring.VOCABULARY))
+    lm = {"model": lm_scoring.init(), "of": of, "inner": np.tile(np.log10(share), (lm_scoring.CLASSES, 1))}
+    seqs = [np.arange(n) for n in (0, 3, 31, 32, 100, 4000)]
+    assert (lm_scoring.log10_scores(lm, seqs) < 0).all() and sum(made) == sum(len(s) + 1 for s in seqs)
+
+
+def test_gradients_of_blocks_are_added():
+    rng = np.random.default_rng(9)
+    n = 2 * lm_scoring.BLOCK + 7
+    m = {k: v.astype(np.float64) for k, v in lm_scoring.init().items()}
+    ids, goals = rng.integers(0, 5000, (n, lm_scoring.WINDOW)), rng.integers(0, lm_scoring.CLASSES, (n, lm_scoring.WINDOW))
+    weight = (rng.random(ids.shape) < 0.7).astype(np.float32)
+    whole = lm_scoring.gradients(m, ids, goals, weight)
+    ones = [(lm_scoring.gradients(m, ids[i : i + 1], goals[i : i + 1], weight[i : i + 1]), weight[i].sum()) for i in range(n)]
+    assert all(np.allclose(whole[k], sum(g[k] * w for g, w in ones) / weight.sum(), atol=1e-6) for k in m)
+
+
 def extracted(spark, pages, host="http://h.example/"):
     rows = spark.createDataFrame([(i, f"{host}{i}", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)], "page_id long, url string, html string")
     return {r.page_id: r.text for r in html_extract.extracted(rows).collect()}
