@@ -21,8 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language; equal texts are judged alike and repeated rows stay. Without a labelled row that isn't held out every
     document goes.
     """
-    found, rejected = langid.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), langid.fitted(docs)), F.col("rejected")
-    return found.where(~rejected).select("_row.*")
+    return docs.where(~langid.judge(spark, langid.fitted(docs))(F.col("text"))["rejected"])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

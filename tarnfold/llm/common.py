@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +67,16 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim_memory() -> None:
+    """Give memory that this process has freed back to the system.
+
+    A Python worker lives on from step to step, and its allocators keep what earlier steps needed.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_names(taken: list[str], *wanted: str) -> list[str]:
     """`wanted`, each with as many underscores behind as it takes not to clash with one of `taken`, whatever the case."""
     used, out = {c.lower() for c in taken}, []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfold.llm.common import free_names, trim_memory
 from tarnfold.tables import table
 
 #: Dimensions of the hashed trigram space; centroids a language; labelled rows that the classifier is fitted on at
@@ -75,6 +76,7 @@ def training_rows(labelled: DataFrame, sample: int = SAMPLE, per_language: int =
     chosen = ranked.withColumn("nth", nth("lang")).where(F.col("nth") <= each).select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         for batch in batches:
             keep = [(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x for _, x in keep], pa.string()), pa.array([grams(t).tobytes() for t, _ in keep], pa.binary())], names=["lang", "vector"])
@@ -86,25 +88,25 @@ def training_rows(labelled: DataFrame, sample: int = SAMPLE, per_language: int =
     return vectors, [x for x, _ in rows]
 
 
-def identify(docs: DataFrame, model: dict, slack: float = SLACK) -> DataFrame:
-    """`docs` plus lang_pred, score and rejected.
+def judge(spark: SparkSession, model: dict, slack: float = SLACK) -> Callable[[Column], Column]:
+    """What gives each text of a column its lang_pred, score and rejected, as one struct.
 
     Every whole text's unit TF-IDF vector is compared with all centroids; the nearest one's language is predicted and
     the cosine is the score. `rejected` says that the text has no letter or lies too far from every language: under
     `slack` of the low quantile of its centroid. Null texts, texts without a letter, and all texts if the model
-    has no centroid are `und` with score 0. Ties go to the first language in order. The columns lang_pred, score and
-    rejected are replaced if `docs` has them; other columns stay as they are.
+    has no centroid are `und` with score 0. Ties go to the first language in order. Only the texts go to Python and only
+    the three values come back.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.schema
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trim_memory()
         m = shared.value
         table_ = (m["centroids"] * m["idf"]).T.astype(np.float32)
-        for batch in batches:
-            pred, score, rejected = [], [], []
-            for text in batch.column("text"):
+        for texts in batches:
+            pred, score, rejected, text = [], [], [], None
+            for text in texts:
                 text = text.as_py()
                 if not text or not m["owners"] or not has_letter(text):
                     pred.append(UNKNOWN)
@@ -117,12 +119,22 @@ def identify(docs: DataFrame, model: dict, slack: float = SLACK) -> DataFrame:
                 pred.append(m["owners"][best])
                 score.append(float(min(1.0, max(0.0, sims[best]))))
                 rejected.append(score[-1] < slack * m["least"][best])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
+            del texts, text
+        trim_memory()
+
+    return judged
 
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    out = StructType([*fields.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    return docs.mapInArrow(run, out)
+def identify(docs: DataFrame, model: dict, slack: float = SLACK) -> DataFrame:
+    """`docs` plus lang_pred, score and rejected, as judge() gives them.
+
+    The columns lang_pred, score and rejected are replaced if `docs` has them; other columns stay as they are.
+    """
+    docs = docs.drop("lang_pred", "score", "rejected")
+    [found] = free_names(docs.columns, "found")
+    out = docs.withColumn(found, judge(docs.sparkSession, model, slack)(F.col("text")))
+    return out.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns), f"{found}.lang_pred", f"{found}.score", f"{found}.rejected")
 
 
 def held_out() -> Column:

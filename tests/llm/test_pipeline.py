@@ -5,12 +5,14 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from tarnfold.llm import langid, packing
+from tarnfold.llm.common import trim_memory
 
 SYLLABLES = {"en": "the and ing tion er st".split(), "fr": "que eux ment ai ou ê".split()}
 
@@ -64,6 +66,31 @@ def test_language_stage(spark, docs):
     assert stage(spark, docs, "").columns == docs.columns and stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_language_stage_sends_texts_alone(spark, docs):
+    """Python gets every text once and no other column, and gives back no text: what it holds doesn't grow with the row."""
+    out = corpus_pipeline.STAGES[0][1](spark, docs, "")
+    out.collect()
+    plans, moved = [out._jdf.queryExecution().executedPlan()], Counter()
+    while plans:
+        plan = plans.pop()
+        plans += [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.children().apply(i) for i in range(plan.children().size())]
+        for name in ("pythonDataSent", "pythonDataReceived"):
+            if plan.metrics().contains(name):
+                moved[name] += plan.metrics().apply(name).value()
+    texts = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert texts < moved["pythonDataSent"] < 1.5 * texts and 0 < moved["pythonDataReceived"] < 0.25 * texts
+
+
+def test_freed_memory_goes_back():
+    """Blocks freed between ones that stay are kept by the allocator until it is asked."""
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    blocks = [bytes(9_000 + i % 7) for i in range(20_000)]
+    blocks = blocks[::100]
+    full = held()
+    trim_memory()
+    assert len(blocks) == 200 and held() < full - 100
+
+
 def test_join_stage(spark, docs):
     stage = corpus_pipeline.STAGES[1][1]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
