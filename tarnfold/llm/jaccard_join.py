@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import components, forget, mix64, settle, small_batches
+from tarnfold.llm.common import components, forget, mix64, settle, small_batches, trim_memory
 from tarnfold.llm.shingles import difference_at_least, folded, parity_bits, set_id, shingle_sets
 from tarnfold.tables import table
 
@@ -24,9 +24,10 @@ SPREAD = 16
 SMALL = 6
 #: Hubs of a group in the first round, and how many times as many each round has.
 HUBS, GROWTH = 8, 32
-#: Bytes of the bitmaps that groups are compared by, members of a block on the average, pairs looked at at once, and
-#: signatures that a set brings to a meeting so that a pair is reported in the first of the groups that it shares.
-BRIEF, BLOCK, AT_ONCE, FIRST = 256, 64, 1 << 18, 32
+#: Bytes of the bitmaps that groups are compared by, members of a block on the average, pairs and members looked at at
+#: once (a pair takes about 1.6 KB, in each Python worker of an executor), and signatures that a set brings to a meeting
+#: so that a pair is reported in the first of the groups that it shares.
+BRIEF, BLOCK, AT_ONCE, MEMBERS, FIRST = 256, 64, 1 << 14, 1 << 13, 32
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -65,6 +66,8 @@ def profiles(docs: DataFrame) -> DataFrame:
             none = [None] * len(blocks)
             blobs = [zlib.compress(counts[b * CELLS : (b + 1) * CELLS].tobytes(), 1) for b in blocks]
             yield rows(pa.array(none, pa.int64()), none, none, none, list(blocks), [TaskContext.get().partitionId()] * len(blocks), blobs)
+        del counts, seen
+        trim_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, more long, bitmap binary, brief binary, block int, part int, counts binary")
 
@@ -149,6 +152,8 @@ def index_rows(docs: DataFrame, classes) -> DataFrame:
                 nodes.append(np.full(len(sigs[-1]), node[0], np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+        seen.clear()
+        trim_memory()
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
@@ -226,6 +231,17 @@ def _close_pairs(sig: np.ndarray, many: pa.Array, hubs: pa.Array) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
+def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows of blocks cut into slices of about MEMBERS members, or of one row that has more."""
+    for batch in batches:
+        ends = np.cumsum(sum(batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("many", "hubs")))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MEMBERS, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _meetings(open_: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a set of `open_` (sig, rep, n, label, size) and one of `hubs` (sig, rep, turns) of its group that may link.
 
@@ -234,9 +250,11 @@ def _meetings(open_: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 500):
+        trim_memory()
+        for batch in _member_batches(batches):
             pairs = _close_pairs(batch.column("sig").to_numpy(), batch.column("many"), batch.column("hubs"))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        trim_memory()
 
     met = open_.join(hubs.select("sig").distinct(), "sig", "left_semi")
     met = met.join(nodes.select("rep", "brief"), "rep").join(_first_sigs(met), "rep")

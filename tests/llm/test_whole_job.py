@@ -1,9 +1,11 @@
 """Operators do the whole job: no samples, lost texts or unfinished moves."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
-from tarnfold.llm import html_extract, lm_scoring, sharding
+from tarnfold.llm import html_extract, jaccard_join, lm_scoring, sharding
 from tarnfold.llm.packing import Ids, default_tokenizer
 
 
@@ -69,6 +71,22 @@ def test_gradients_of_blocks_are_added():
     assert all(np.allclose(whole[k], sum(g[k] * w for g, w in ones) / weight.sum(), atol=1e-6) for k in m)
 
 
+def test_groups_of_near_copies_meet_in_little_memory():
+    rng, groups, size = np.random.default_rng(10), 60, 80
+    kind = pa.list_(pa.struct([("rep", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("brief", pa.binary()), ("sigs", pa.list_(pa.int64()))]))
+    member = lambda i, brief: {"rep": i, "label": i, "n": 300, "brief": brief, "sigs": rng.integers(1, 1 << 60, jaccard_join.FIRST).tolist()}
+    many = pa.array([[member(g * size + i, brief) for i in range(size)] for g in range(groups) for brief in [rng.bytes(jaccard_join.BRIEF)]], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(groups, np.int64)), many, many], names=["sig", "many", "hubs"])
+    tracemalloc.start()
+    try:
+        found = [jaccard_join._close_pairs(*(x.column(c) if c != "sig" else x.column(c).to_numpy() for c in x.schema.names)) for x in jaccard_join._member_batches([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [tuple(p) for p in np.concatenate(found).tolist()] == [(g * size + i, g * size + j) for g in range(groups) for i in range(size) for j in range(i + 1, size)]
+    assert len(found) > 1 and peak < 64 << 20
+
+
 def extracted(spark, pages, host="http://h.example/"):
     rows = spark.createDataFrame([(i, f"{host}{i}", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)], "page_id long, url string, html string")
     return {r.page_id: r.text for r in html_extract.extracted(rows).collect()}
