@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfold.llm.common import byte_batches, forget, settle, small_batches
+from tarnfold.llm.common import byte_batches, forget, settle, small_batches, trim_memory
 from tarnfold.llm.packing import Ids, default_tokenizer
 from tarnfold.llm.shingles import word_hashes
 from tarnfold.tables import table
@@ -22,7 +22,7 @@ from tarnfold.tables import table
 #: that are only context of the others.
 WIDTH, CLASSES, EMBEDDED, WINDOW, OVERLAP = 16, 64, 4096, 32, 8
 #: Windows of a step and of a block of its arithmetic; the first id of a text and the end; how many ids there are.
-STEP, BLOCK, BEGIN, END, VOCABULARY = 128, 32, 50256, 2, 50257
+STEP, BLOCK, BEGIN, END, VOCABULARY = 128, 128, 50256, 2, 50257
 #: Ids of a logical shard about, rounds in which shards train from the mean of the round before, and weight of an id's
 #: share of its class against what followed the class before it.
 SHARD_IDS, ROUNDS, PRIOR = 8 << 20, 3, 50.0
@@ -142,15 +142,10 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, goals: np.ndarray, weig
     g["v"], g["o"] = vo @ m["o"].T, m["v"].T @ vo
     qk = qk * np.float32(WIDTH**-0.5)
     g["q"], g["k"] = qk @ m["k"], qk.T @ m["q"]
-    at = (ids % EMBEDDED).astype(np.int16).ravel()
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    last = np.flatnonzero(np.concatenate([at[1:] != at[:-1], [True]]))
-    upto = np.cumsum(back.take(order, axis=0), axis=0, out=back).take(last, axis=0)
-    upto[1:] = np.diff(upto, axis=0)
-    g["e"] = room("e", kind, *m["e"].shape)
-    g["e"].fill(0)
-    g["e"][at[last]] = upto
+    # Each part of each position's gradient goes to its place in the embedding's, all in one count by weights.
+    at = room("at", np.dtype(np.int64), ids.size, WIDTH)
+    np.add((ids % EMBEDDED * WIDTH).reshape(-1, 1), np.arange(WIDTH), out=at)
+    g["e"] = np.bincount(at.ravel(), back.ravel(), EMBEDDED * WIDTH).reshape(m["e"].shape)
     return g
 
 
@@ -180,12 +175,12 @@ class Adam:
             g -= two
             g *= 0.01
             two += g
-            np.divide(two, 1 - 0.99**self.step, out=g)
-            np.sqrt(g, out=g)
-            g += 1e-8
-            np.divide(one, 1 - 0.9**self.step, out=by)
-            by *= self.rate
-            by /= g
+            # Both means are corrected for their start by numbers: one factor and a larger or smaller least divisor.
+            two_part = math.sqrt(1 - 0.99**self.step)
+            np.sqrt(two, out=g)
+            g += 1e-8 * two_part
+            np.divide(one, g, out=by)
+            by *= self.rate * two_part / (1 - 0.9**self.step)
             self.flat -= by
 
 
@@ -289,6 +284,7 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in byte_batches(batches, "text", 4 << 20):
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(line_ids(_ids(path), some.column("text")), pa.binary())], names=[*some.schema.names, "ids"])
+        trim_memory()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
@@ -371,18 +367,19 @@ def log10_scores(m: dict, seqs: list[np.ndarray]) -> np.ndarray:
     Positions that are context only, or behind the end, have no score: nothing is made of them but what others look at.
     """
     ids, goals, weight, owner = windows(seqs)
-    out, room = np.zeros(len(seqs)), Room()
+    out, room, of, inner = np.zeros(len(seqs)), Room(), m["of"], m["inner"].ravel()
     begins = weight[:, 0] > 0
     for skip, some in ((0, np.flatnonzero(begins)), (OVERLAP, np.flatnonzero(~begins))):
-        for lo in range(0, len(some), 64):
-            part = some[lo : lo + 64]
-            row, place = np.nonzero(weight[part, skip:])
-            y = attended(m["model"], ids[part], room, skip)[-1]
-            z = class_scores(m["model"], y.take(row * (WINDOW - skip) + place, axis=0), room)
-            before, goal = ids[part[row], place + skip], goals[part[row], place + skip]
-            chosen = z[np.arange(len(z)), m["of"][goal]] - np.log((np.exp(z, out=z) @ _ONES[:CLASSES]).ravel())
-            p = chosen * np.float32(0.4342944819032518) + m["inner"][m["of"][before], goal]
-            out += np.bincount(owner[part[row]], p, minlength=len(seqs))
+        for lo in range(0, len(some), BLOCK):
+            part = some[lo : lo + BLOCK]
+            here = ids[part]
+            at = np.flatnonzero(weight[part, skip:])
+            y = attended(m["model"], here, room, skip)[-1]
+            z = class_scores(m["model"], y if len(at) == len(y) else y.take(at, axis=0), room)
+            before, goal = here[:, skip:].ravel().take(at), goals[part, skip:].ravel().take(at)
+            chosen = z.ravel().take(np.arange(0, z.size, CLASSES) + of.take(goal)) - np.log((np.exp(z, out=z) @ _ONES[:CLASSES]).ravel())
+            p = chosen * np.float32(0.4342944819032518) + inner.take(of.take(before) * VOCABULARY + goal)
+            out += np.bincount(owner[part].take(at // (WINDOW - skip)), p, minlength=len(seqs))
     return out
 
 
@@ -399,6 +396,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def gains(h: np.ndarray, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10(c + 1) and c of each hash, c being its count, 0 if it isn't among the sorted `known`; a hash is searched once."""
+    if not len(known):
+        return np.zeros(len(h)), np.zeros(len(h), np.int64)
+    kinds, which = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
+    c = np.where(known[at] == kinds, count[at], 0)
+    return np.log10(c + 1.0).take(which), c.take(which)
+
+
 def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -437,11 +444,10 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
                 with np.errstate(over="ignore"):
                     h, per = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in part])
                 h = h.view(np.int64)
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                c = np.where(hit, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                gain, found = gains(h, known, count)
+                hit = found > 0
                 text = np.repeat(np.arange(len(part)), per)
-                base = np.bincount(text[hit], np.log10(c[hit] + 1.0), minlength=len(part)) + np.log10(ends + 1.0)
+                base = np.bincount(text[hit], gain[hit], minlength=len(part)) + np.log10(ends + 1.0)
                 seen = np.bincount(text[hit], minlength=len(part)) + (ends > 0)
                 scores = log10_scores(lm, [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").slice(lo, len(part)).to_pylist()])
                 rest, where = h[~hit], np.searchsorted(text[~hit], np.arange(len(part) + 1))

@@ -71,6 +71,35 @@ def test_gradients_of_blocks_are_added():
     assert all(np.allclose(whole[k], sum(g[k] * w for g, w in ones) / weight.sum(), atol=1e-6) for k in m)
 
 
+def test_gains_search_a_word_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    known, searched = np.sort(rng.choice(5000, 400, replace=False)) - 2500, []
+    count, h, real = rng.integers(1, 90, 400), rng.integers(-2600, 2600, 20000), np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: (searched.append(len(v)), real(a, v, *more))[1])
+    gain, c = lm_scoring.gains(h, known, count)
+    have = dict(zip(known.tolist(), count.tolist(), strict=True))
+    assert c.tolist() == [have.get(x, 0) for x in h.tolist()] and np.array_equal(gain, np.log10(c + 1.0))
+    assert searched == [len(set(h.tolist()))]
+    assert all(len(x) == 0 for x in lm_scoring.gains(h[:0], known, count)) and not any(x.any() for x in lm_scoring.gains(h, known[:0], count[:0]))
+
+
+def test_adam_is_the_plain_rule():
+    rng = np.random.default_rng(12)
+    ids, goals = rng.integers(0, 5000, (3 * lm_scoring.STEP, lm_scoring.WINDOW)), rng.integers(0, lm_scoring.CLASSES, (3 * lm_scoring.STEP, lm_scoring.WINDOW))
+    weight = np.ones(ids.shape, np.float32)
+    adam = lm_scoring.Adam({k: v.astype(np.float64) for k, v in lm_scoring.init().items()})
+    plain = {k: v.copy() for k, v in adam.model.items()}
+    one, two = ({k: np.zeros_like(v) for k, v in plain.items()} for _ in range(2))
+    for step in (1, 2, 3):
+        part = slice((step - 1) * lm_scoring.STEP, step * lm_scoring.STEP)
+        for k, g in lm_scoring.gradients(plain, ids[part], goals[part], weight[part]).items():
+            one[k], two[k] = 0.9 * one[k] + 0.1 * g, 0.99 * two[k] + 0.01 * g * g
+        for k in plain:
+            plain[k] -= adam.rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
+    adam.learn(ids, goals, weight)
+    assert all(np.allclose(adam.model[k], plain[k], rtol=0, atol=1e-6) for k in plain)
+
+
 def test_groups_of_near_copies_meet_in_little_memory():
     rng, groups, size = np.random.default_rng(10), 60, 80
     kind = pa.list_(pa.struct([("rep", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("brief", pa.binary()), ("sigs", pa.list_(pa.int64()))]))
