@@ -77,6 +77,32 @@ def trim_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(run):
+    """`run`, a function of batches, with freed memory given back before its first batch and after its last."""
+
+    def task(batches):
+        trim_memory()
+        yield from run(batches)
+        trim_memory()
+
+    return task
+
+
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int):
+    """Jobs that run inside send Python Arrow batches of about `most` bytes, not of 10,000 rows however long they are.
+
+    Both the JVM and the worker hold whole batches. The session's own setting comes back afterwards.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_names(taken: list[str], *wanted: str) -> list[str]:
     """`wanted`, each with as many underscores behind as it takes not to clash with one of `taken`, whatever the case."""
     used, out = {c.lower() for c in taken}, []

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfold.llm.common import byte_batches, forget, settle, small_batches, trim_memory
+from tarnfold.llm.common import batch_bytes, byte_batches, forget, lean, settle, small_batches, trim_memory
 from tarnfold.llm.packing import Ids, default_tokenizer
 from tarnfold.llm.shingles import word_hashes
 from tarnfold.tables import table
@@ -28,6 +28,8 @@ STEP, BLOCK, BEGIN, END, VOCABULARY = 128, 128, 50256, 2, 50257
 SHARD_IDS, ROUNDS, PRIOR = 8 << 20, 3, 50.0
 #: The most frequent words whose counts are broadcast; all others are joined.
 HEAD = 1 << 18
+#: Bytes of an Arrow batch and of the texts that are cut at once; hashes of words that a task holds before it counts them.
+BATCH, WORDS = 4 << 20, 1 << 20
 
 
 def held_out() -> Column:
@@ -237,11 +239,17 @@ def _sum_vectors(rows: DataFrame) -> np.ndarray | None:
     """The sum of vectors (part long, vector binary) of one fixed length, by a tree of sums of 64 that `part` orders."""
 
     def add(group: pa.Table) -> pa.Table:
+        trim_memory()
         group = group.sort_by("part")
-        total = 0
+        total = np.zeros(1)
         for x in group.column("vector"):
-            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.float64)
-        return pa.table({"part": group.column("some")[:1], "vector": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            one = np.frombuffer(zlib.decompress(x.as_py()), np.float64)
+            total = total if len(total) == len(one) else np.zeros(len(one))
+            total += one
+        out = pa.table({"part": group.column("some")[:1], "vector": pa.array([zlib.compress(total, 1)], pa.binary())})
+        del group, total, one
+        trim_memory()
+        return out
 
     rows = settle(rows, "vectors", clean=False)
     while (n := rows.agg(F.max("part")).first()[0]) is not None:
@@ -282,11 +290,10 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
     """`docs` plus ids: the ids of each text, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in byte_batches(batches, "text", 4 << 20):
+        for some in byte_batches(batches, "text", BATCH):
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(line_ids(_ids(path), some.column("text")), pa.binary())], names=[*some.schema.names, "ids"])
-        trim_memory()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
 def _counted(rows: DataFrame, size: int, codes) -> np.ndarray:
@@ -301,9 +308,9 @@ def _counted(rows: DataFrame, size: int, codes) -> np.ndarray:
             whole = np.frombuffer(b"".join(begin + x + end for x in batch.column("ids").to_pylist()), "<u2").astype(np.int64)
             counts += np.bincount(codes(whole), minlength=size)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(counts, 1)], pa.binary())], names=["part", "vector"])
 
-    got = _sum_vectors(rows.select("ids").mapInArrow(run, "part long, vector binary"))
+    got = _sum_vectors(rows.select("ids").mapInArrow(lean(run), "part long, vector binary"))
     return got if got is not None else np.zeros(size)
 
 
@@ -343,12 +350,15 @@ def model_of(rows: DataFrame, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS)
         start = model
 
         def run(group: pa.Table, start=start) -> pa.Table:
+            trim_memory()
             adam, n = Adam(start), 0
             for batch in small_batches(group.sort_by([("mark", "ascending"), ("ids", "ascending")]).to_batches(), 256):
                 ids, goals, weight, _ = windows([np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()], 0)
                 adam.learn(ids, of[goals], weight)
                 n += len(ids)
             flat = np.concatenate([[1.0], *(adam.model[k].ravel() for k in names)]).astype(np.float64) * n
+            del adam
+            trim_memory()
             return pa.table({"part": group.column("part")[:1], "vector": pa.array([zlib.compress(flat.tobytes(), 1)], pa.binary())})
 
         some = dealt.where(F.pmod(F.xxhash64("mark", F.lit(2)), F.lit(rounds)) == turn)
@@ -383,17 +393,29 @@ def log10_scores(m: dict, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): hashes and counts of all words of the texts of `docs`; a batch sends a word once."""
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c): hashes and counts of all words of the texts of `batches`; a word comes once for each `WORDS` words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                h, _ = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
-            words, c = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        words, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    held, n = [], 0
+    for batch in small_batches(batches, 256):
+        with np.errstate(over="ignore"):
+            h, _ = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
+        held.append(h)
+        n += len(h)
+        if n >= WORDS:
+            yield counted(held)
+            held, n = [], 0
+    if n:
+        yield counted(held)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, c): hashes and counts of all words of the texts of `docs`."""
+    return docs.select("text").mapInArrow(lean(counted_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def gains(h: np.ndarray, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +437,13 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
 
     A null or empty text is the end token alone. Without training texts all counts are 0 and the model is as it
     starts. Rows that are equal get equal scores; a null doc_id is not held out. Other columns are not looked at.
+    Workers get batches of `BATCH` bytes and give back what a task has freed, as the JVM may fill its heap beside them.
     """
+    with batch_bytes(docs.sparkSession, BATCH):
+        return _scored(docs, tokenizer, head)
+
+
+def _scored(docs: DataFrame, tokenizer: str | None, head: int) -> DataFrame:
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
@@ -438,9 +466,8 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, lm = shared.value["h"], shared.value["c"], shared.value["lm"]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.column("text").slice(lo, 256).to_pylist()
                 with np.errstate(over="ignore"):
                     h, per = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in part])
                 h = h.view(np.int64)
@@ -454,17 +481,17 @@ def scored(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> D
                 tails = [rest[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(part)), batch.column("held_out").slice(lo, len(part)), pa.array(per + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(scores), pa.array(tails, pa.binary())], names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "tail"])
 
-    rows = base.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, tail binary")
+    rows = base.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, score double, tail binary")
     rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     forget(spark, base)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             tails = [np.frombuffer(x, np.int64) for x in batch.column("tail").to_pylist()]
             row = np.repeat(np.array(batch.column("row").to_pylist(), np.int64), [len(x) for x in tails])
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(tails) if tails else [], pa.int64())], names=["row", "h"])
 
-    tail = rows.select("row", "tail").where("length(tail) > 0").mapInArrow(spread, "row long, h long")
+    tail = rows.select("row", "tail").where("length(tail) > 0").mapInArrow(lean(spread), "row long, h long")
     more = tail.join(counts, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("gain"))
     out = rows.drop("tail").join(more, "row", "left")
     whole = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))

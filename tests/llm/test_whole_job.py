@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tarnfold.llm import html_extract, jaccard_join, lm_scoring, sharding
+from tarnfold.llm import common, html_extract, jaccard_join, lm_scoring, sharding
 from tarnfold.llm.packing import Ids, default_tokenizer
 
 
@@ -100,6 +100,52 @@ def test_adam_is_the_plain_rule():
     assert all(np.allclose(adam.model[k], plain[k], rtol=0, atol=1e-6) for k in plain)
 
 
+def test_words_of_a_large_batch_are_counted_in_little_memory():
+    rng = np.random.default_rng(13)
+    kinds = np.array([f"word{i}" for i in range(30000)])
+    texts = [*(" ".join(kinds[rng.integers(0, 30000, 350)]) for _ in range(8000)), None, "", " River river\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(lm_scoring.counted_words(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    h, per = lm_scoring.word_hashes([(t or "").encode() for t in texts])
+    want = dict(zip(*(x.tolist() for x in np.unique(h.view(np.int64), return_counts=True)), strict=True))
+    total = {r["h"]: r["c_sum"] for r in got.group_by("h").aggregate([("c", "sum")]).to_pylist()}
+    assert total == want and sum(want.values()) == 8000 * 350 + 2 and per[-1] == 2
+    assert peak < 64 << 20
+    assert list(lm_scoring.counted_words(iter([batch.slice(8000, 2)]))) == []
+
+
+def test_scores_reach_workers_in_small_batches(spark, monkeypatch):
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id % 7, ' '), 1000) as text")
+    name, seen, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], lm_scoring.settle
+    before = spark.conf.get(name)
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def settle(df, *more, **named):
+        seen.append(int(spark.conf.get(name).rstrip("b")))
+        return real(df, *more, **named)
+
+    with common.batch_bytes(spark, 1 << 18):
+        assert max(r.n for r in rows.mapInArrow(largest, "n long").collect()) < 1 << 19
+    monkeypatch.setattr(lm_scoring, "settle", settle)
+    got = lm_scoring.scored(rows)
+    assert seen and set(seen) == {lm_scoring.BATCH} and spark.conf.get(name) == before
+    assert got.where("n_tokens = 1001").count() == 3000
+
+
+def test_workers_give_back_memory_around_a_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "trim_memory", lambda: done.append("trim"))
+    assert list(common.lean(lambda batches: (done.append(x) or x for x in batches))([1, 2])) == [1, 2] and done == ["trim", 1, 2, "trim"]
+
+
 def test_groups_of_near_copies_meet_in_little_memory():
     rng, groups, size = np.random.default_rng(10), 60, 80
     kind = pa.list_(pa.struct([("rep", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("brief", pa.binary()), ("sigs", pa.list_(pa.int64()))]))
