@@ -39,6 +39,41 @@ def running(rows: DataFrame, order: str, value: str, name: str, *within: str, ra
     return cut.join(sums, same).withColumn(name, F.col("_start") + F.col("_inner")).select(*rows.columns, name)
 
 
+def median(rows: DataFrame, value: str, few: int = 100_000) -> float | None:
+    """The exact median of a number as `percentile` gives it, by counting, or None without values.
+
+    `percentile` holds all distinct values in one task. Here approximate quantiles bracket the middle rank, counts below, on
+    and between them tell where it lies, and so on there until `few` rows are left. Edges are values of the table and each is
+    settled by its count, so equal values don't hold it up and a bracket that misses costs a round, never the result.
+    """
+    v = F.col("v")
+    # The sum keeps comparisons from the file reader, whose statistics may leave NaN out.
+    some = rows.select((F.col(value).cast("double") + 0.0).alias("v")).where("v is not null")
+    total = n = some.count()
+    if not total:
+        return None
+    rest, below, high = some, 0, None
+    while high is None:
+        if n > few:
+            at = (total // 2 - below + 0.5) / n
+            lo, hi = rest.agg(F.percentile_approx("v", [max(at - 2e-4, 0.0), min(at + 2e-4, 1.0)], 10000)).first()[0]
+            parts = [v < lo, v == lo, (v > lo) & (v < hi), (v > lo) & (v == hi), v > hi]
+            counts = rest.agg(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(parts)]).first()
+            pieces = list(zip(counts, (None, lo, None, hi, None), parts, strict=True))
+        else:
+            pieces = [(r["n"], r["v"], None) for r in rest.groupBy("v").agg(F.count("*").alias("n")).sort("v").collect()]
+        for n, high, part in pieces:
+            if below + n > total // 2:
+                break
+            below += n
+        else:
+            raise ValueError(f"the values of {value} changed between two passes")
+        if high is None:
+            rest = rest.where(part)
+    low = high if below <= (total - 1) // 2 else some.where(v < high).agg(F.max("v")).first()[0]
+    return 0.5 * low + 0.5 * high
+
+
 def value_ranks(rows: DataFrame, value: str, *within: str) -> DataFrame:
     """(within, value, ties, rank): the average rank of each distinct value."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("ties"))

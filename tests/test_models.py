@@ -2,12 +2,14 @@
 
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from tarnfold.operators import gates, models, reports
+from tarnfold.operators import gates, models, reports, stats
+from tarnfold.plans import models as plans
 from tarnfold.sources import files
 
 
@@ -80,6 +82,38 @@ def test_contributions_and_intervals(sample):
     assert len(drawn) == 40 and abs(np.mean([r.n for r in drawn]) - 240) < 12
 
 
+@pytest.mark.parametrize("values", [[], [3.0], [2.0, 5.0], [1.0] * 9 + [2.0] * 9, [1.0] * 30 + [2.0], [7.0, -1.0, -1.0, 0.0, -0.0, 4.0, 2.5], [1.0, float("nan"), float("nan")], [float("-inf"), 1.0, 4.0, float("inf")], [float(i * i % 97) for i in range(60)]])
+def test_median_by_counts_is_exact(spark, values):
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    want = float(np.median(np.sort(values))) if values else None
+    for few in (0, 4, 1000):
+        got = stats.median(rows, "v", few)
+        assert got is None if want is None else got == want or np.isnan(want) and np.isnan(got)
+
+
+def test_paired_gain_holds_no_table_of_values_and_takes_one_hash_a_draw(spark, tmp_path):
+    ran = lambda: spark._jsparkSession.sharedState().statusStore()
+    spark.range(400).selectExpr("id as o_orderkey", "cast(id * id % 391 as double) as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    before = ran().executionsCount()
+    got = plans.paired_gain(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert got.first().n == 400
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    told = ran().executionsList()
+    plain = [told.apply(i).physicalPlanDescription() for i in range(told.size()) if told.apply(i).executionId() >= before]
+    assert plain and not any("percentile(o_totalprice" in x for x in plain)
+
+
+@pytest.mark.parametrize("prices", [[], [5.0], [None], [5.0, 7.5, None], [1.0, 2.0, 9.0, 9.0], [*[2.0**i for i in range(12)], None, None], [1.0, 4.0, float("nan")], [1.0, 4.0, 2.0, float("inf")]])
+def test_paired_gain_equals_its_sql_on_odd_tables(spark, tmp_path, prices):
+    rows = [(None if i == 3 else i // 2, v) for i, v in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+        want = con.execute(plans.SQL["paired_gain"]).fetchall()
+    assert repr([tuple(r) for r in plans.paired_gain(spark, str(tmp_path)).collect()]) == repr(want)
+
+
 def test_chart_tables_and_scans_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, " x ", '["a", " b ", ""]', "eins\r\nzwei drei"), (2, "x", "a；b|, a", "drei\nvier\rdrei"), (3, "全国", "[broken", ""), (4, None, None, None), (5, " ", " ", "x")], "k long, v string, tags string, t string")
     assert [tuple(r) for r in reports.top_values(rows, "v", 2, ("全国",)).collect()] == [("x", 2)]
